@@ -6,10 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbago.llm import decontaminate
+from plumbago.llm.decontaminate import op2_benchmark_decontamination
+from plumbago.llm.media import op6_media_columns
 from plumbago.llm.near_dup import op1_minhash_near_dedup
+from plumbago.llm.secrets import op3_secret_scans
+from plumbago.llm.token_count import op10_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_secret_scans": op3_secret_scans,
+    "op6_media_columns": op6_media_columns,
+    "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_benchmark_decontamination": decontaminate.SQL,
+}
