@@ -22,7 +22,6 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from plumbago.llm.cluster import checkpoint, fresh, read, row_key, small
 
@@ -166,8 +165,6 @@ def op8_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source.join(per_source, F.col("of").eqNullSafe(F.col("source"))).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("uses")).alias("taken"))
 
 
-SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("size", T.LongType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("taken", T.LongType())])
-
 SQL = r"""
 with d as (
   select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size,

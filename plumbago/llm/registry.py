@@ -6,21 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbago.llm import decontaminate
+from plumbago.llm import decontaminate, mixture, url_filter
 from plumbago.llm.decontaminate import op2_benchmark_decontamination
 from plumbago.llm.media import op6_media_columns
+from plumbago.llm.mixture import op8_mixing_sources
 from plumbago.llm.near_dup import op1_minhash_near_dedup
+from plumbago.llm.pii import op9_pii
 from plumbago.llm.secrets import op3_secret_scans
 from plumbago.llm.token_count import op10_token_counts
+from plumbago.llm.url_filter import op5_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_secret_scans": op3_secret_scans,
+    "op5_url_filters": op5_url_filters,
     "op6_media_columns": op6_media_columns,
+    "op8_mixing_sources": op8_mixing_sources,
+    "op9_pii": op9_pii,
     "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_benchmark_decontamination": decontaminate.SQL,
+    "op5_url_filters": url_filter.SQL,
+    "op8_mixing_sources": mixture.SQL,
 }
