@@ -12,6 +12,7 @@ from plumbago.llm.media import op6_media_columns
 from plumbago.llm.mixture import op8_mixing_sources
 from plumbago.llm.near_dup import op1_minhash_near_dedup
 from plumbago.llm.pii import op9_pii
+from plumbago.llm.quality import op7_quality_classifier
 from plumbago.llm.secrets import op3_secret_scans
 from plumbago.llm.token_count import op10_token_counts
 from plumbago.llm.url_filter import op5_url_filters
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scans": op3_secret_scans,
     "op5_url_filters": op5_url_filters,
     "op6_media_columns": op6_media_columns,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_mixing_sources": op8_mixing_sources,
     "op9_pii": op9_pii,
     "op10_token_counts": op10_token_counts,
