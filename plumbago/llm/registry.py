@@ -15,12 +15,14 @@ from plumbago.llm.pii import op9_pii
 from plumbago.llm.quality import op7_quality_classifier
 from plumbago.llm.secrets import op3_secret_scans
 from plumbago.llm.token_count import op10_token_counts
+from plumbago.llm.toxicity import op4_toxicity
 from plumbago.llm.url_filter import op5_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_secret_scans": op3_secret_scans,
+    "op4_toxicity": op4_toxicity,
     "op5_url_filters": op5_url_filters,
     "op6_media_columns": op6_media_columns,
     "op7_quality_classifier": op7_quality_classifier,
