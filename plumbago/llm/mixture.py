@@ -12,7 +12,7 @@ The seeded order is by buckets of a hash. Bucket sums, not documents, are summed
 
 Cases. The size of a text is its number of runs of anything but U+0009 to U+000D and the space; a null text has size 0. Documents of size 0 are never taken. Documents that tie in the hash are
 ordered by doc_id, size and text; repeated rows are documents of their own and may differ by a use at the boundary, the same multiset at each run. A null source is a source of its own. An empty table gives an empty
-result. Other columns are ignored by plan() and kept by sample().
+result. Other columns are kept by sample() and mixed().
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbago.llm.cluster import checkpoint, fresh, read, row_key, small
+from plumbago.llm.cluster import checkpoint, fresh, read, row_key
 
 REPEATS = 3
 SEED = "mix"
@@ -106,18 +106,23 @@ def route(patterns: dict[tuple, int], quotas: dict[str | None, int], repeats: in
     return {p: {s: room[via[p, s] ^ 1] for s in p} for p in patterns}
 
 
-def _sized(docs: DataFrame, members: Column, seed: str) -> DataFrame:
-    """key, doc_id, pattern, size, bucket and order of each document, without the text."""
+def _sized(docs: DataFrame, members: Column | None, seed: str) -> tuple[DataFrame, str]:
+    """docs with a struct of pattern, size, bucket, draw (the order within the bucket) and tie, and its name."""
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("long")
-    pattern = F.array_sort(F.array_distinct(members))  # null comes last
-    return docs.select("doc_id", pattern.alias("pattern"), F.coalesce(F.expr(f"regexp_count(text, r'{SIZE}')"), F.lit(0)).cast("long").alias("size"), F.pmod(draw, F.lit(BUCKETS)).cast("int").alias("bucket"), draw.alias("draw"), row_key(F.col("doc_id"), F.col("text"), F.to_json(pattern)).alias("key"))
+    pattern = F.array_sort(F.array_distinct(F.array("source") if members is None else members))  # null comes last
+    size = F.coalesce(F.expr(f"regexp_count(text, r'{SIZE}')"), F.lit(0)).cast("long")
+    name = fresh(docs, "mix")
+    return docs.withColumn(name, F.struct(pattern.alias("pattern"), size.alias("size"), F.pmod(draw, F.lit(BUCKETS)).cast("int").alias("bucket"), draw.alias("draw"), row_key(F.col("doc_id"), F.col("text")).alias("tie"))), name
 
 
 def plan(docs: DataFrame, members: Column | None = None, weights: Weights = cycling, repeats: int = REPEATS, seed: str = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Per document key, doc_id, pattern, size, uses; per source its size and target; per pattern and source the words routed. ``members``: array of the sources that hold a document, by default its source alone."""
+    """Three small tables: per pattern how its flow is dealt (pattern, whole, edge, open), per source source_size and target, per pattern and source the words routed.
+
+    ``members``: array of the sources that hold a document, by default its source alone.
+    """
     spark = docs.sparkSession
-    sized = checkpoint(_sized(docs, F.array("source") if members is None else members, seed))
-    sums = checkpoint(sized.groupBy("pattern", "bucket").agg(F.sum("size").alias("words")))
+    sized, mix = _sized(docs, members, seed)
+    sums = checkpoint(sized.groupBy(F.col(mix)["pattern"].alias("pattern"), F.col(mix)["bucket"].alias("bucket")).agg(F.sum(F.col(mix)["size"]).alias("words")))
     of_pattern = sums.groupBy("pattern").agg(F.sum("words").alias("words"))
     found = of_pattern.limit(PATTERNS + 1).collect()
     if len(found) > PATTERNS:
@@ -134,35 +139,44 @@ def plan(docs: DataFrame, members: Column | None = None, weights: Weights = cycl
     told = F.broadcast(spark.createDataFrame(uses, "pattern array<string>, whole long, rest long"))  # at most PATTERNS rows
     upto = F.expr("sum(words) over (partition by pattern order by bucket)")
     ends = sums.withColumn("upto", upto).join(told, "pattern").filter("upto > rest").groupBy("pattern").agg(F.min(F.struct("bucket", (F.col("rest") - F.col("upto") + F.col("words")).alias("open"))).alias("last"), F.first("whole").alias("whole"))
-    last = F.broadcast(ends.select("pattern", "whole", F.col("last.bucket").alias("edge"), F.col("last.open").alias("open")))  # as many
-    placed = sized.join(last, "pattern", "left")
-    clear = placed.filter("edge is null or bucket != edge").withColumn("more", F.when(F.col("bucket") < F.col("edge"), 1).otherwise(0))
-    before = F.expr("coalesce(sum(size) over (partition by pattern order by draw, doc_id, size, key rows between unbounded preceding and 1 preceding), 0)")
-    ordered = placed.filter("bucket = edge").withColumn("before", before).withColumn("more", F.when(F.col("before") * 2 + F.col("size") <= F.col("open") * 2, 1).otherwise(0)).drop("before")
-    chosen = clear.union(ordered).select("key", "doc_id", "pattern", "size", F.when(F.col("size") > 0, F.coalesce("whole", F.lit(0)) + F.col("more")).otherwise(0).cast("long").alias("uses"))
+    dealt = checkpoint(ends.select("pattern", "whole", F.col("last.bucket").alias("edge"), F.col("last.open").alias("open")))
     per_source = spark.createDataFrame([(s, sizes[s], t) for s, t in wanted.items()], "source string, source_size long, target double")
     routes = spark.createDataFrame([(list(p), s, n) for p, r in routed.items() for s, n in r.items()], "pattern array<string>, source string, words long")
-    return chosen, per_source, routes
+    return dealt, per_source, routes
+
+
+def uses(docs: DataFrame, dealt: DataFrame, members: Column | None = None, seed: str = SEED) -> tuple[DataFrame, str]:
+    """docs with a struct of pattern, size and uses (how often the mix takes the document), and its name. No text is shuffled but that of 1 of BUCKETS documents."""
+    sized, mix = _sized(docs, members, seed)
+    m = F.col(mix)
+    limits = F.broadcast(dealt.select(F.struct("whole", "edge", "open", F.col("pattern").alias("for")).alias(lim := fresh(sized, "limit"))))  # at most PATTERNS rows
+    placed = sized.join(limits, m["pattern"] == F.col(lim)["for"], "left")
+    first, edge = fresh(placed, "first"), F.col(lim)["edge"]
+    clear = placed.filter(edge.isNull() | (m["bucket"] != edge)).withColumn(first, m["bucket"] < edge)
+    before = F.expr(f"coalesce(sum({mix}.size) over (partition by {mix}.pattern order by {mix}.draw, doc_id, {mix}.size, {mix}.tie rows between unbounded preceding and 1 preceding), 0)")
+    ordered = placed.filter(m["bucket"] == edge).withColumn(first, before * 2 + m["size"] <= F.col(lim)["open"] * 2)
+    number = F.when(m["size"] > 0, F.coalesce(F.col(lim)["whole"], F.lit(0)) + F.coalesce(F.col(first).cast("int"), F.lit(0))).otherwise(0).cast("long")
+    return clear.union(ordered).select(*docs.columns, F.struct(m["pattern"].alias("pattern"), m["size"].alias("size"), number.alias("uses")).alias(mix)), mix
 
 
 def sample(docs: DataFrame, members: Column | None = None, weights: Weights = cycling, repeats: int = REPEATS, seed: str = SEED) -> DataFrame:
-    """The mix itself: every row of docs as often as it is used. Rows repeated as they are get the uses of their kind, dealt in any order."""
-    key, n, uses = (fresh(docs, c) for c in ("key", "n", "uses"))
-    chosen = plan(docs, members, weights, repeats, seed)[0]
-    spread = chosen.groupBy("key").agg(F.min("uses").alias("least"), F.max("uses").alias("most"), F.sum("uses").alias("all"), F.count("*").alias("rows"))
-    spread = checkpoint(spread)
-    pattern = F.array_sort(F.array_distinct(F.array("source") if members is None else members))
-    rows = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text"), F.to_json(pattern)))
-    even = rows.join(spread.filter("least = most and most > 0").select(F.col("key").alias(key), F.col("most").alias(uses)), key).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(uses))))
-    odd = rows.join(spread.filter("least < most").select(F.col("key").alias(key), F.col("all").alias(uses)), key).dropDuplicates([key]).withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(uses))))
-    return even.select(*docs.columns).union(odd.select(*docs.columns))
+    """The mix itself: every row of docs as often as it is used."""
+    rows, mix = uses(docs, plan(docs, members, weights, repeats, seed)[0], members, seed)
+    return rows.filter(F.col(mix)["uses"] > 0).withColumn(mix, F.explode(F.sequence(F.lit(1).cast("long"), F.col(mix)["uses"]))).select(*docs.columns)
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """Every row of docs with size, source_size, target and taken; columns of these names are replaced."""
+    docs = docs.drop("size", "source_size", "target", "taken")
+    dealt, per_source, _ = plan(docs)
+    rows, mix = uses(docs, dealt)
+    of = F.broadcast(per_source.select(F.struct(*per_source.columns).alias(about := fresh(rows, "about"))))  # at most PATTERNS rows
+    joined = rows.join(of, F.col(mix)["pattern"][0].eqNullSafe(F.col(about)["source"]))
+    return joined.select(*docs.columns, F.col(mix)["size"].alias("size"), F.col(about)["source_size"].alias("source_size"), F.col(about)["target"].alias("target"), (F.col(mix)["size"] * F.col(mix)["uses"]).alias("taken"))
 
 
 def op8_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen, per_source, _ = plan(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    source = chosen.select("doc_id", "size", "uses", F.col("pattern")[0].alias("of"))
-    per_source = F.broadcast(per_source)  # at most PATTERNS rows
-    return source.join(per_source, F.col("of").eqNullSafe(F.col("source"))).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("uses")).alias("taken"))
+    return mixed(read(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text", "source")
 
 
 SQL = r"""
