@@ -61,7 +61,7 @@ def replay(events: DataFrame, key: Column, ttl: timedelta = TTL) -> DataFrame:
     Every step depends on the last entry of the key, so each key is folded in order of time, over its sorted times. Times of one key are one array.
     """
     seconds = ttl.total_seconds()
-    times = events.select(key.alias("key"), F.col("ts").cast("double").alias("t")).groupBy("key").agg(F.array_sort(F.collect_list("t")).alias("times"))
+    times = events.select(key.alias("key"), F.col("ts").cast("timestamp").cast("double").alias("t")).groupBy("key").agg(F.array_sort(F.collect_list("t")).alias("times"))
     start = F.struct(F.lit(float("-inf")).alias("made"), F.lit(0).cast("long").alias("hits"))
     step = lambda s, t: F.when(t - s["made"] <= seconds, F.struct(s["made"].alias("made"), (s["hits"] + 1).alias("hits"))).otherwise(F.struct(t.alias("made"), s["hits"].alias("hits")))
     return times.select("key", F.size("times").cast("long").alias("requests"), F.aggregate("times", start, step, lambda s: s["hits"]).alias("hits"))
