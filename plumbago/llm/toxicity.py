@@ -66,11 +66,11 @@ def _stems(words: Words, some: np.ndarray | None = None) -> np.ndarray:
     """Buckets of the first bytes of words (words x len(STEMS)); 0 for shorter words."""
     starts, ends = (words.starts, words.ends) if some is None else (words.starts[some], words.ends[some])
     raw = np.frombuffer(words.data, np.uint8)
-    out, code = np.zeros((len(starts), len(STEMS)), np.int64), np.zeros(len(starts), np.uint64)
+    out, code = np.zeros((len(starts), len(STEMS)), np.int32), np.zeros(len(starts), np.uint64)
     for k in range(max(STEMS) if len(raw) else 0):
         code = mix(code * np.uint64(0x100) + raw[np.minimum(starts + k, len(raw) - 1)])
         if k + 1 in STEMS:
-            out[:, STEMS.index(k + 1)] = np.where(ends - starts > k, (code >> np.uint64(64 - STEM_BITS)).astype(np.int64), 0)
+            out[:, STEMS.index(k + 1)] = np.where(ends - starts > k, (code >> np.uint64(64 - STEM_BITS)).astype(np.int32), 0)
     return out
 
 
@@ -231,6 +231,7 @@ def fit(texts: pa.Array, labels: list[int], seed: int = 4) -> Network:
     first = np.searchsorted(owner, np.arange(len(y)))
     value = np.maximum(np.append(odds, [0, 0])[rows], stems[buckets, np.arange(len(STEMS))].max(1))
     rank = np.where(at >= 0, np.append(value, 0)[at], -9).max(1)
+    del hashes, buckets, value
     rng = np.random.default_rng(seed)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
@@ -243,7 +244,7 @@ def fit(texts: pa.Array, labels: list[int], seed: int = 4) -> Network:
             for k in range(0, len(some), BATCH):
                 step += 1
                 _learn(net, words, rows, at[some[order[k : k + BATCH]]], truth[order[k : k + BATCH]], moments, step)
-        rank = net.logits(data, off)[0]
+        rank = np.concatenate([net.logits(d, o)[0] for _, _, d, o in blocks(texts)])  # in blocks, for the driver's memory
     top = np.maximum.reduceat(rank, first)
     net.calibration = _calibrate(top, y)
     return net
