@@ -38,11 +38,13 @@ class LexicalIndex:
 
 
 def build(chunks: DataFrame, content: Column | None = None, chunk_id: str = "chunk_id", with_han: bool = True) -> LexicalIndex:
-    """Tokenise once; everything else is derived from the postings but the number and length of chunks without tokens."""
+    """Tokenise once: postings are kept (in memory, then on disk), and terms and stats follow from them and from the number of chunks."""
     said = tokens(F.col("content") if content is None else content, with_han)
-    cut = chunks.select(F.col(chunk_id).alias("chunk_id"), said.alias("tokens")).withColumn("dl", F.size("tokens"))
-    postings = cut.select("chunk_id", "dl", F.explode("tokens").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    stats = cut.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    cut = chunks.select(F.col(chunk_id).alias("chunk_id"), said.alias("tokens"))
+    postings = cut.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")).persist()
+    n = chunks.agg(F.count("*").alias("n"))
+    length = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("length"))
+    stats = n.crossJoin(length).select("n", (F.col("length") / F.col("n")).alias("avgdl"))  # one row each
     return LexicalIndex(postings, idf(postings, stats), stats)
 
 
