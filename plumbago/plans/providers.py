@@ -88,6 +88,21 @@ class Extract:
         return rows.select("query_id", F.when(F.length(body) > 0, F.substring(body, 1, self.length)).otherwise(APOLOGY).alias("answer"))
 
 
+class Evaluator(Protocol):
+    """query_id, accuracy, completeness, relevance (0 to 10) from query_id, question, answer, context."""
+
+    def evaluate(self, rows: DataFrame) -> DataFrame: ...
+
+
+class Overlap:
+    """Shares of tokens, as an offline stand-in for a model's judgement: of the answer's in the context, of the question's in the answer, of the question's in the context."""
+
+    def evaluate(self, rows: DataFrame) -> DataFrame:
+        held = rows.select("query_id", *(tokens(F.col(c)).alias(c) for c in ("question", "answer", "context")))
+        share = lambda a, b: F.when(F.size(a) > 0, F.round(F.size(F.array_intersect(a, b)) * 10.0 / F.size(F.array_distinct(a)), 1)).otherwise(0.0)
+        return held.select("query_id", share("answer", "context").alias("accuracy"), share("question", "answer").alias("completeness"), share("question", "context").alias("relevance"))
+
+
 class PageSearch:
     """Web search over a table of pages (page_id, url, html), by BM25 of their text. include and exclude are domains."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbago.operators.ingest import identified
+from plumbago.operators.ingest import identified, to_pages, to_records
 
 #: Suffixes in the order in which a folder is read.
 MARKDOWN, WORKBOOKS = ("md",), ("xls", "xlsx")
@@ -55,3 +55,14 @@ def pick_folder(spark: SparkSession, base: str) -> str:
     path = jvm.org.apache.hadoop.fs.Path(f"{base}/processed")
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return f"{base}/processed" if fs.exists(path) and len(fs.listStatus(path)) else f"{base}/raw"
+
+
+def parse_markdown(spark: SparkSession, path: str) -> DataFrame:
+    """One markdown file as pages: doc_id, doc_name, page, content."""
+    folder, _, name = path.rpartition("/")
+    return to_pages(markdown(spark, folder or ".").filter(F.element_at(F.split("path", "/"), -1).isin(name, name.replace(" ", "%20")) & (F.col("status") == "ok")))
+
+
+def parse_table(spark: SparkSession, path: str) -> DataFrame:
+    """One table as records: row_index, content, raw_data."""
+    return to_records(table(spark, path), "row_index")
