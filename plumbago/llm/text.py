@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 #: Bytes of text handled by one numpy pass; bounds the memory of a task whatever the batch holds.
 BLOCK = 1 << 20
+#: Rows of a batch whose texts are copied at a time.
+SLICE = 2048
 
 IS_WORD = np.zeros(256, bool)
 IS_WORD[0x30:0x3A] = True
@@ -127,19 +129,18 @@ def blocks(column: pa.Array, limit: int = BLOCK, rows: int = 4096) -> Iterator[t
     """Runs of at most ``rows`` rows and about ``limit`` bytes: first row, row after the last, bytes, offsets. A null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    n = len(column)
-    if not n:
-        return
-    _, off, data = column.buffers()
-    off = np.frombuffer(off, np.int64)[column.offset : column.offset + n + 1]
-    data = memoryview(data) if data is not None else memoryview(b"")
-    i = 0
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
-        j = min(j, n, i + rows)
-        yield i, j, bytes(data[off[i] : off[j]]), (off[i : j + 1] - off[i]).astype(np.int64)
-        i = j
+    for s in range(0, len(column), SLICE):  # only a slice of the batch is copied at a time
+        part = pc.fill_null(column.slice(s, SLICE).cast(pa.large_string()), "")
+        n = len(part)
+        _, off, data = part.buffers()
+        off = np.frombuffer(off, np.int64)[part.offset : part.offset + n + 1]
+        data = memoryview(data) if data is not None else memoryview(b"")
+        i = 0
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
+            j = min(j, n, i + rows)
+            yield s + i, s + j, bytes(data[off[i] : off[j]]), (off[i : j + 1] - off[i]).astype(np.int64)
+            i = j
 
 
 def arrow_schema(schema: T.StructType) -> pa.Schema:
