@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 WS = r"[\s\x1c-\x1f]"
 
 #: What cleaning removes, in this order: heading marks to the end of their line, bold, italics, links, fenced code, runs of white space.
-CLEANING = ((r"(?d)#.*?\n", "\n"), (r"\*\*|__", ""), (r"\*|_", ""), (r"(?d)\[.*?\]\(.*?\)", ""), (r"(?s)```.*?```", ""), (rf"(?U){WS}+", " "))
+CLEANING = ((r"#[^\n]*+\n", "\n"), (r"\*\*|__", ""), (r"\*|_", ""), (r"(?d)\[.*?\]\(.*?\)", ""), (r"(?s)```.*?```", ""), (rf"(?U){WS}+", " "))
 
 
 def strip(c: Column) -> Column:
@@ -22,7 +22,9 @@ def blank(c: Column) -> Column:
 
 
 def clean_markdown(c: Column) -> Column:
-    return strip(reduce(lambda acc, rule: F.regexp_replace(acc, F.lit(rule[0]), F.lit(rule[1])), CLEANING, c))
+    last = F.substring_index(c, "\n", -1)  # a line without an end has no heading; left out of the search, which is linear then
+    head = F.regexp_replace(F.substring(c, F.lit(1), F.length(c) - F.length(last)), F.lit(CLEANING[0][0]), F.lit(CLEANING[0][1]))
+    return strip(reduce(lambda acc, rule: F.regexp_replace(acc, F.lit(rule[0]), F.lit(rule[1])), CLEANING[1:], F.concat(head, last)))
 
 
 def id16(c: Column) -> Column:
