@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbago.functions import vectors
 from plumbago.operators.lexical import top
@@ -11,6 +16,8 @@ from plumbago.operators.lexical import top
 CELLS, PROBES = 128, 16
 #: Query vectors that one scan broadcasts; more are asked in several scans.
 QUERIES_A_SCAN = 10_000
+#: Candidates that a task holds before it cuts them to the k best of each query.
+HELD = 500_000
 
 
 def normed(table: DataFrame, embedding: str = "embedding") -> DataFrame:
@@ -19,9 +26,9 @@ def normed(table: DataFrame, embedding: str = "embedding") -> DataFrame:
 
 
 def _scored(queries: DataFrame, table: DataFrame, mode: str) -> DataFrame:
-    q = normed(queries).select("query_id", F.col("embedding").alias("asked"), F.col("norm").alias("asked_norm"), *(["cell"] if "cell" in queries.columns else []))
-    t = normed(table).select("chunk_id", "embedding", "norm", *(["cell"] if "cell" in queries.columns else []))
-    pairs = t.join(F.broadcast(q), "cell") if "cell" in queries.columns else t.crossJoin(F.broadcast(q))  # queries are counted by search()
+    q = normed(queries).select("query_id", F.col("embedding").alias("asked"), F.col("norm").alias("asked_norm"))
+    t = normed(table).select("chunk_id", "embedding", "norm")
+    pairs = t.crossJoin(F.broadcast(q))  # queries are counted by search()
     both = F.col("norm") * F.col("asked_norm")
     cos = F.coalesce(F.when(both > 0, vectors.dot(F.col("embedding"), F.col("asked")) / both), F.lit(0.0))
     return pairs.select("query_id", "chunk_id", cos.alias("cosine"), vectors.score(cos, mode).alias("score"))
@@ -54,7 +61,7 @@ class CellIndex:
         from pyspark.ml.linalg import Vectors  # noqa: F401
 
         n = table.count()
-        unit = lambda df: df.withColumn("v", array_to_vector(F.transform("embedding", lambda x: x.cast("double") / F.greatest(F.col("norm"), F.lit(1e-12)))))
+        unit = lambda df: df.withColumn("v", array_to_vector(F.transform("embedding", lambda x: x.cast("double") / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0))))
         ready = unit(normed(table))
         some = ready if n <= sample else ready.orderBy(F.xxhash64("chunk_id")).limit(sample)
         model = KMeans(k=min(cells, max(1, n)), seed=seed, featuresCol="v", predictionCol="cell", maxIter=10).fit(some)
@@ -63,22 +70,86 @@ class CellIndex:
     def write(self, path: str) -> None:
         self.table.write.mode("overwrite").partitionBy("cell").parquet(path)
 
-    def search(self, queries: DataFrame, k: int = 5, probes: int = PROBES, mode: str = "cosine") -> DataFrame:
-        """The k best of the ``probes`` nearest cells of each query."""
-        import numpy as np
-
-        centres = np.array(self.model.clusterCenters())  # as many as cells
+    def _radii(self):
+        """Of each cell, the distance of its farthest unit vector from the centre; as many as cells."""
+        centres = np.array(self.model.clusterCenters())
 
-        @F.pandas_udf("array<int>")
-        def nearest(asked):
-            x = np.stack([np.asarray(v, float) for v in asked])
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            import pandas as pd
+        @F.pandas_udf("double")
+        def away(embedding, cell):
+            return pd.Series(np.linalg.norm(_units(embedding) - centres[cell.to_numpy()], axis=1))
 
-            return pd.Series(list(np.argsort(((x[:, None, :] - centres[None]) ** 2).sum(-1), 1, kind="stable")[:, :probes].astype("int32")))
+        out = np.zeros(len(centres))
+        for cell, far in self.table.groupBy("cell").agg(F.max(away("embedding", "cell"))).collect():
+            out[cell] = far
+        return out
 
-        asked = queries.withColumn("cell", F.explode(nearest("embedding")))
-        return top(_scored(asked, self.table, mode), k, F.round("cosine", 9))
+    def search(self, queries: DataFrame, k: int = 5, probes: int = PROBES, mode: str = "cosine") -> DataFrame:
+        """The k best of all vectors. The ``probes`` nearest cells of each query come first; then every other cell that may hold a vector as near as the k-th found.
+
+        By the triangle inequality a cell has none if its centre is farther than its radius and the k-th distance together. Unit vectors are at the distance sqrt(2 - 2 cos);
+        the slack covers the rounding of cosines to nine places. The stated query set is asked in blocks of a checked size, which the driver holds one at a time.
+        """
+        centres, radii = np.array(self.model.clusterCenters()), self._radii()
+        blocks = max(1, -(-queries.count() // QUERIES_A_SCAN))
+        numbered = queries.select("query_id", "embedding").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+        out = None
+        for b in range(blocks):
+            asked = numbered.filter(F.col("block") == b).collect()
+            if not asked and blocks > 1:
+                continue
+            ids, x = [r.query_id for r in asked], _units([r.embedding for r in asked]) if asked else np.zeros((0, centres.shape[1]))
+            far = np.stack([np.linalg.norm(x - c, axis=1) for c in centres], 1)
+            first = np.zeros(far.shape, bool)
+            np.put_along_axis(first, np.argsort(far, 1, kind="stable")[:, :probes], True, 1)
+            near = self._scan(ids, x, first, k, queries).persist()
+            kth = {r.query_id: r.cosine for r in near.filter(F.col("rank") == k).collect()}  # at most one a query
+            reach = np.sqrt(np.maximum(2 - 2 * np.array([kth.get(i, -1.0) for i in ids]), 0) + 1e-8)  # without a k-th vector all are in reach
+            may = (far - radii[None] <= reach[:, None] + 1e-6) & ~first
+            found = near.union(self._scan(ids, x, may, k, queries))
+            out = found if out is None else out.union(found)
+        return top(out.drop("rank"), k, F.round("cosine", 9)).select("query_id", "chunk_id", "cosine", vectors.score(F.col("cosine"), mode).alias("score"), "rank")
+
+    def _scan(self, ids: list, x: np.ndarray, probed: np.ndarray, k: int, queries: DataFrame) -> DataFrame:
+        """query_id, chunk_id, cosine, rank: the k best of the cells marked in ``probed`` for each query; a task keeps k candidates a query."""
+        schema = T.StructType([queries.schema["query_id"], self.table.schema["chunk_id"], T.StructField("cosine", T.DoubleType())])
+        told = self.table.sparkSession.sparkContext.broadcast((ids, x, probed))
+
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, x, probed = told.value
+            best, held, size, floor = pd.DataFrame({"q": [], "chunk_id": [], "cosine": []}), [], 0, np.full(len(ids), -np.inf)
+
+            def cut() -> pd.DataFrame:
+                every = pd.concat([f for f in (best, *held) if len(f)]) if size or len(best) else best
+                every = every.assign(by=-every["cosine"].round(9)).sort_values(["q", "by", "chunk_id"])
+                return every[every.groupby("q").cumcount() < k].drop(columns="by")
+
+            for batch in batches:
+                for cell, rows in batch.groupby("cell"):
+                    asked = np.flatnonzero(probed[:, cell])
+                    some = max(1, HELD // max(1, len(asked)))
+                    for at in range(0, len(rows) if len(asked) else 0, some):
+                        part = rows.iloc[at : at + some]
+                        cos = x[asked] @ _units(part["embedding"]).T
+                        least = np.partition(cos, -k, 1)[:, -k] if cos.shape[1] > k else np.full(len(asked), -np.inf)
+                        q, v = np.nonzero(cos >= np.maximum(least, floor[asked])[:, None] - 2e-9)
+                        held.append(pd.DataFrame({"q": asked[q], "chunk_id": part["chunk_id"].to_numpy()[v], "cosine": cos[q, v]}))
+                        size += len(q)
+                        if size > HELD:
+                            best, held, size = cut(), [], 0
+                            full = best.groupby("q")["cosine"].agg(["size", "min"])
+                            full = full[full["size"] == k]
+                            floor[full.index.to_numpy(int)] = full["min"]
+            best = cut()
+            if len(best):
+                yield pd.DataFrame({"query_id": [ids[q] for q in best["q"].astype(int)], "chunk_id": best["chunk_id"].to_numpy(), "cosine": best["cosine"].to_numpy()})
+
+        return top(self.table.select("cell", "chunk_id", "embedding").mapInPandas(work, schema), k, F.round("cosine", 9))
+
+
+def _units(embedding) -> np.ndarray:
+    x = np.stack([np.asarray(v, float) for v in embedding])
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(n > 0, n, 1)
 
 
 def similar_pairs(left: DataFrame, right: DataFrame) -> DataFrame:

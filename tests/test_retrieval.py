@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbago.functions import vectors
 from plumbago.operators import cache, context, fusion, ingest, lexical, vector
+from plumbago.plans import queries
 from plumbago.plans.answer import REQUEST, Engine, health, valid
 from plumbago.plans.providers import BatchedEmbedder, PageSearch
 from plumbago.plans.settings import Settings
@@ -56,6 +57,21 @@ def test_cells_recall(spark):
     assert len(exact & pairs(vector.CellIndex.fit(t, cells=32).search(q, 10))) / len(exact) >= 0.9
 
 
+def test_registered_cells_find_all(spark):
+    d = "/root/testdata/sf0.1"
+    rows = lambda df: sorted((r.query_id, r.chunk_id, r.score, r["rank"]) for r in df.collect())
+    assert rows(queries.ann_topk(spark, d)) == rows(queries.vector_topk_batch(spark, d))
+
+
+def test_cells_beyond_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(vector, "HELD", 3)
+    t = spark.createDataFrame([(k, [math.cos(k), math.sin(k)]) for k in range(60)] + [(60, [0.0, 0.0]), (61, [1e-15, 0.0])], "chunk_id int, embedding array<double>")
+    q = t.filter("chunk_id in (0, 7, 33, 60)").withColumnRenamed("chunk_id", "query_id")
+    rows = lambda df: sorted((r.query_id, r.chunk_id, r["rank"]) for r in df.collect())
+    index = vector.CellIndex.fit(t, cells=12)
+    assert rows(index.search(q, 5, probes=1)) == rows(vector.search(q, t, 5)) and rows(index.search(q, 70, probes=1)) == rows(vector.search(q, t, 70))
+
+
 def test_queries_in_blocks(spark, monkeypatch):
     t = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(9)], "chunk_id int, embedding array<float>")
     q = t.withColumnRenamed("chunk_id", "query_id")
