@@ -10,12 +10,15 @@ Base kinds, leftmost and non-overlapping within each; a match that fails its che
 The expressions run with possessive quantifiers and a look-behind that skips places at which no leftmost match can begin, which changes no match but makes them linear
 and keeps them off the stack. No function of Spark gives all offsets of a pattern, so they are summed up from the lengths of the pieces between matches.
 
-Information-theoretic sanitisation. Protected entities are the normalised values of base spans. The context of an occurrence is the words (runs of letters) up to REACH code points
-before and after it on its line. Over all documents, n(t, e) counts the occurrences of term t in contexts of entity e, n(t) those in the corpus, n(e) the words in contexts of e, N all words.
-With PMI(t; e) = log2(n(t, e) N / (n(t) n(e))) and IC(e) = log2(N / n(e)), t discloses e if PMI >= theta IC(e) and n(t, e) >= support. A context word that discloses the entity
-next to it becomes a span of kind ``term``. sanitise() puts ``<EMAIL>`` and so on for base spans and ``<TERM>`` for terms.
+Information-theoretic sanitisation. Protected entities are the normalised values of base spans. Terms are words (runs of letters), lower-cased, and co-occur with an entity if a document
+holds both. Over all documents, n(t, e) counts the occurrences of term t in documents that hold e, n(t) those in the corpus, n(e) the words of documents that hold e, N all words;
+p(e) = n(e) / N and IC(e) = -log2 p(e). m(t, e) is n(t, e) with equal texts counted once, as a copy is no evidence. P(e | t) is n(t, e) / n(t), weighed by m occurrences and
+smoothed by one more that is distributed like the corpus: P' = (m + p(e)) / (m n(t) / n(t, e) + 1). With PMI(t; e) = log2(P' / p(e)), t discloses e if PMI >= theta IC(e) and the next
+occurrence is likelier with e than without, m > (m n(t) / n(t, e) + 1) / 2. No count is asked for: an entity seen once has the terms that keep to its document, but a word seen once
+in all is no evidence of either. A disclosing term near a base span, in a document that holds its entity, becomes a span of kind ``term``. sanitise() puts ``<EMAIL>`` and so on for
+base spans and ``<TERM>`` for terms.
 
-Corpus counts cover all rows. A hot entity or term is pre-aggregated before any shuffle; the disclosing pairs are broadcast only if their count allows it.
+Corpus counts cover all rows. Words are pre-aggregated per text and term, and only terms with most of their occurrences beside entities are paired with them; entities of one and the same single text are one class. What is small is broadcast only if its count allows it.
 
 Cases. A null text is empty and stays null; empty texts have no spans. Offsets count code points, ends are exclusive. Rows with the same doc_id and text have the same spans; a null doc_id is like any
 other. Repeated rows count as often as they occur. An empty table gives an empty result. Very long texts are whole. Other columns pass through sanitise() unchanged.
@@ -23,14 +26,13 @@ other. Repeated rows count as often as they occur. An empty table gives an empty
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbago.llm.cluster import checkpoint, fresh, read, row_key, small
 
 KINDS = ("email", "ip", "card", "phone")
 THETA = 0.9
-SUPPORT = 3
 REACH = 60
 _LOCAL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
@@ -75,67 +77,70 @@ def base_spans(df: DataFrame, text: str) -> DataFrame:
     return df.withColumns({k: F.expr(_spans(text, k)) for k in KINDS})
 
 
-def _contexts(text: str) -> str:
-    """SQL for an array of (entity, words) of all base spans; words are lower-cased, with places in the text; those cut by the window's edge don't count."""
-    value = "case k when 'email' then lower(s.value) when 'ip' then s.value else regexp_replace(s.value, '[^0-9]', '') end"
-    spans = "concat(" + ", ".join(f"transform({k}, s -> named_struct('k', '{k}', 's', s))" for k in KINDS) + ")"
-    side = lambda piece, at, edge: f"""transform(filter({located(piece, _WORD)}, w -> {edge}), w -> named_struct('start', w.start + {at}, 'end', w.end + {at}, 'term', lower(w.value)))"""
-    before = f"regexp_replace(substring({text}, greatest(x.s.start - {REACH}, 0) + 1, least(x.s.start, {REACH})), r'(?s)^.*\\n', '')"
-    after = f"regexp_extract(substring({text}, x.s.end + 1, {REACH}), r'^[^\\n]*', 0)"
-    left = side(before, f"x.s.start - length({before})", f"w.start > 0 or length({before}) < {REACH}")
-    right_ = side(after, "x.s.end", f"w.end < length({after}) or length({after}) < {REACH}")
-    entity = f"concat(x.k, ':', {value.replace('case k', 'case x.k').replace('s.value', 'x.s.value')})"
-    return f"transform({spans}, x -> named_struct('entity', {entity}, 'words', concat({left}, {right_})))"
+def _entities() -> str:
+    """SQL for the distinct protected entities of a row's base spans."""
+    value = {"email": "lower(s.value)", "ip": "s.value"}
+    return "array_distinct(concat(" + ", ".join(f"transform({k}, s -> concat('{k}:', {value.get(k, _DIGITS)}))" for k in KINDS) + "))"
+
+
+def _words(text: str) -> str:
+    return f"transform(regexp_extract_all({text}, r'{_WORD}', 0), w -> lower(w))"
 
 
 def _found(docs: DataFrame) -> DataFrame:
-    """doc_id, key, the base spans and contexts of each row, without the text; cut from its lineage, as it is read several times."""
+    """doc_id, key, the base spans, entities and, where there are any, the text and its own key; cut from its lineage, as it is read several times."""
     rows = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     rows = base_spans(rows, "t")
-    some = " or ".join(f"size({k}) > 0" for k in KINDS)
-    rows = rows.withColumn("contexts", F.expr(f"if({some}, {_contexts('t')}, array())"))
-    return checkpoint(rows.select("doc_id", "key", *KINDS, "contexts"))
-
-
-def disclosing(docs: DataFrame, found: DataFrame, theta: float = THETA, support: int = SUPPORT) -> DataFrame:
-    """entity, term of all pairs whose co-occurrence exceeds the threshold."""
-    near = found.select(F.explode("contexts").alias("c")).select("c.entity", F.explode("c.words.term").alias("term"))
-    joint = checkpoint(near.groupBy("entity", "term").agg(F.count("*").alias("n_te")))
-    of_entity = joint.groupBy("entity").agg(F.sum("n_te").alias("n_e")).filter(F.col("n_e") >= support)
-    often = joint.filter(F.col("n_te") >= support)
-    terms = checkpoint(often.select("term").distinct())
-    words = docs.select(F.explode(F.expr(f"regexp_extract_all(lower(text), r'{_WORD}', 0)")).alias("term"))
-    listed = terms.count()
-    if not listed:
-        return often.select("entity", "term")
-    counted = words.join(small(terms.withColumn("listed", F.lit(True)), listed), "term", "left").select(F.when(F.col("listed"), F.col("term")).alias("term"))
-    counted = checkpoint(counted.groupBy("term").agg(F.count("*").alias("n_t")))
-    total = counted.agg(F.sum("n_t")).first()[0]
-    ic = F.log2(F.lit(float(total)) / F.col("n_e"))
-    pmi = F.log2(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))
-    return often.join(of_entity, "entity").join(counted.filter("term is not null"), "term").filter(pmi >= theta * ic).select("entity", "term")
-
-
-def _terms(docs: DataFrame, found: DataFrame, theta: float, support: int) -> DataFrame:
+    some = F.expr(" or ".join(f"size({k}) > 0" for k in KINDS))
+    return checkpoint(rows.select("doc_id", "key", *KINDS, F.when(some, F.expr(_entities())).alias("entities"), F.when(some, F.col("t")).alias("t"), F.when(some, row_key(F.col("t"))).alias("same")))
+
+
+def disclosing(docs: DataFrame, found: DataFrame, theta: float = THETA) -> tuple[DataFrame, DataFrame]:
+    """same (a text's key), entity, class; and class, term of all pairs that disclose. Entities that one and the same text alone holds are one class."""
+    texts = found.filter("t is not null").groupBy("same").agg(F.count("*").alias("copies"), F.first("t").alias("t"), F.first("entities").alias("entities"))
+    texts = checkpoint(texts.withColumn("words", F.expr(_words("t"))).drop("t").withColumn("n_words", F.size("words").cast("long") * F.col("copies")))
+    held = texts.select("same", F.explode("entities").alias("entity"))
+    known = held.groupBy("entity").agg(F.count("*").alias("n"))
+    held = checkpoint(held.join(known, "entity").select("same", "entity", F.when(F.col("n") > 1, F.col("entity")).otherwise(F.hex("same")).alias("class")))
+    classes = held.select("same", "class").distinct()
+    beside = checkpoint(texts.select("same", "copies", F.explode("words").alias("term")).groupBy("same", "copies", "term").agg(F.count("*").alias("n")))
+    counted = docs.select(F.explode(F.expr(_words("cast(text as string)"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    counted = checkpoint(counted)
+    total = float(counted.agg(F.sum("n_t")).first()[0] or 0)
+    most = beside.groupBy("term").agg(F.sum(F.col("n") * F.col("copies")).alias("m_t")).join(counted, "term").filter("2 * m_t > n_t").select("term", "n_t")
+    joint = beside.join(most, "term").join(classes, "same").groupBy("class", "term").agg(F.sum(F.col("n") * F.col("copies")).alias("n_te"), F.sum("n").alias("m"), F.first("n_t").alias("n_t"))
+    share = texts.select("same", "n_words").join(classes, "same").groupBy("class").agg((F.sum("n_words") / F.lit(max(total, 1.0))).alias("p"))
+    scale = F.col("m") * F.col("n_t") / F.col("n_te") + 1
+    pmi = F.log2((F.col("m") + F.col("p")) / scale / F.col("p"))
+    return held, joint.filter(2 * F.col("m") > scale).join(share, "class").filter(pmi >= -theta * F.log2("p")).select("class", "term")
+
+
+def _terms(docs: DataFrame, found: DataFrame, theta: float) -> DataFrame:
     """key and the places of disclosing terms, for rows that have any."""
-    pairs = checkpoint(disclosing(docs, found, theta, support))
-    base = F.expr("concat(" + ", ".join(KINDS) + ")")
-    near = found.filter("size(contexts) > 0").dropDuplicates(["key"]).select("key", base.alias("base"), F.explode("contexts").alias("c")).select("key", "base", "c.entity", F.explode("c.words").alias("w")).select("key", "base", "entity", "w.*")
-    hit = near.join(small(pairs, pairs.count()), ["entity", "term"], "left_semi").filter(F.expr("not exists(base, b -> b.start < end and b.end > start)"))
-    return checkpoint(hit.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end", F.col("term").alias("value")))).alias("term")))
-
-
-def personal_data(docs: DataFrame, theta: float = THETA, support: int = SUPPORT) -> DataFrame:
+    held, pairs = disclosing(docs, found, theta)
+    said = checkpoint(held.select("same", "class").distinct().join(pairs, "class").select("same", "term").distinct())
+    n = said.count()
+    texts = found.filter("t is not null").dropDuplicates(["same"]).join(small(said.select("same").distinct(), n), "same", "left_semi")
+    pieces = texts.select("same", F.posexplode(F.expr(f"zip_with(split(t, r'{_WORD}', -1), regexp_extract_all(t, r'{_WORD}', 0), (g, w) -> named_struct('g', length(g), 'w', w))")).alias("at", "x")).filter("x.w is not null")
+    ends = F.sum(F.expr("x.g + length(x.w)")).over(Window.partitionBy("same").orderBy("at")).cast("int")
+    places = pieces.select("same", F.lower("x.w").alias("term"), (ends - F.length("x.w")).alias("start"), ends.alias("end"))
+    hit = places.join(small(said, n), ["same", "term"], "left_semi").groupBy("same").agg(F.collect_list(F.struct("start", "end", F.col("term").alias("value"))).alias("term"))
+    rows = found.filter("t is not null").dropDuplicates(["key"]).select("key", "same", F.expr("concat(" + ", ".join(KINDS) + ")").alias("base")).join(hit, "same")
+    clear = f"filter(term, w -> not exists(base, b -> b.start < w.end and b.end > w.start) and exists(base, b -> b.start - {REACH} < w.end and b.end + {REACH} > w.start))"
+    return checkpoint(rows.select("key", F.array_sort(F.expr(clear)).alias("term")).filter("size(term) > 0"))
+
+
+def personal_data(docs: DataFrame, theta: float = THETA) -> DataFrame:
     """doc_id, key, and the arrays email, ip, card, phone, term of start, end, value: a row for each row of docs."""
     found = _found(docs)
-    terms = _terms(docs, found, theta, support)
+    terms = _terms(docs, found, theta)
     return found.join(small(terms, terms.count()), "key", "left").select("doc_id", "key", *KINDS, F.coalesce("term", F.expr(_NONE)).alias("term"))
 
 
-def sanitise(docs: DataFrame, theta: float = THETA, support: int = SUPPORT) -> DataFrame:
+def sanitise(docs: DataFrame, theta: float = THETA) -> DataFrame:
     """docs with personal data generalised to its kind and disclosing terms to ``<TERM>``. Spans that overlap are joined and named after the first."""
     key, spans = fresh(docs, "key"), fresh(docs, "spans")
-    every = personal_data(docs, theta, support)
+    every = personal_data(docs, theta)
     marked = "concat(" + ", ".join(f"transform({k}, s -> named_struct('start', s.start, 'end', s.end, 'kind', upper('{k}')))" for k in (*KINDS, "term")) + ")"
     apart = f"""aggregate(array_sort({marked}), cast(array() as array<struct<start:int,end:int,kind:string>>), (a, s) -> if(size(a) > 0 and s.start < element_at(a, -1).end,
       concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, s.end), 'kind', element_at(a, -1).kind))), concat(a, array(s))))"""

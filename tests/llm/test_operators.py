@@ -362,6 +362,14 @@ def test_terms_that_disclose(spark):
     assert out[0] == "<TERM> <TERM> <TERM> <EMAIL> the of run 0" and out[10] == rows[6][1] and out[None] is None and out[60] == ""
 
 
+def test_terms_of_an_entity_seen_once(spark):
+    rows = [(0, "Ask Zorro at bob@ex.com, Zorro knows the rest", "x"), (1, "the rest is plain and once", "x")] + [(10 + k, f"the rest is plain text {k}", "x") for k in range(600)]
+    rows += [(2, "call +49 30 1234567 about quartz", "x")] * 2  # a copy is no evidence
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    out = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert out[0] == "Ask <TERM> at <EMAIL>, <TERM> knows the rest" and out[2] == "call <PHONE> about quartz" and out[1] == rows[1][1]
+
+
 # 10
 
 
