@@ -15,7 +15,7 @@ holds both. Over all documents, n(t, e) counts the occurrences of term t in docu
 p(e) = n(e) / N and IC(e) = -log2 p(e). m(t, e) is n(t, e) with equal texts counted once, as a copy is no evidence. P(e | t) is n(t, e) / n(t), weighed by m occurrences and
 smoothed by one more that is distributed like the corpus: P' = (m + p(e)) / (m n(t) / n(t, e) + 1). With PMI(t; e) = log2(P' / p(e)), t discloses e if PMI >= theta IC(e) and the next
 occurrence is likelier with e than without, m > (m n(t) / n(t, e) + 1) / 2. No count is asked for: an entity seen once has the terms that keep to its document, but a word seen once
-in all is no evidence of either. A disclosing term near a base span, in a document that holds its entity, becomes a span of kind ``term``. sanitise() puts ``<EMAIL>`` and so on for
+in all is no evidence of either. Every occurrence of a disclosing term in a document that holds its entity becomes a span of kind ``term``, outside base spans. sanitise() puts ``<EMAIL>`` and so on for
 base spans and ``<TERM>`` for terms.
 
 Corpus counts cover all rows. Words are pre-aggregated per text and term, and only terms with most of their occurrences beside entities are paired with them; entities of one and the same single text are one class. What is small is broadcast only if its count allows it.
@@ -33,7 +33,6 @@ from plumbago.llm.cluster import checkpoint, fresh, read, row_key, small
 
 KINDS = ("email", "ip", "card", "phone")
 THETA = 0.9
-REACH = 60
 _LOCAL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
     "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -126,7 +125,7 @@ def _terms(docs: DataFrame, found: DataFrame, theta: float) -> DataFrame:
     places = pieces.select("same", F.lower("x.w").alias("term"), (ends - F.length("x.w")).alias("start"), ends.alias("end"))
     hit = places.join(small(said, n), ["same", "term"], "left_semi").groupBy("same").agg(F.collect_list(F.struct("start", "end", F.col("term").alias("value"))).alias("term"))
     rows = found.filter("t is not null").dropDuplicates(["key"]).select("key", "same", F.expr("concat(" + ", ".join(KINDS) + ")").alias("base")).join(hit, "same")
-    clear = f"filter(term, w -> not exists(base, b -> b.start < w.end and b.end > w.start) and exists(base, b -> b.start - {REACH} < w.end and b.end + {REACH} > w.start))"
+    clear = "filter(term, w -> not exists(base, b -> b.start < w.end and b.end > w.start))"
     return checkpoint(rows.select("key", F.array_sort(F.expr(clear)).alias("term")).filter("size(term) > 0"))
 
 

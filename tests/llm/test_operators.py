@@ -370,6 +370,13 @@ def test_terms_of_an_entity_seen_once(spark):
     assert out[0] == "Ask <TERM> at <EMAIL>, <TERM> knows the rest" and out[2] == "call <PHONE> about quartz" and out[1] == rows[1][1]
 
 
+def test_terms_far_from_their_entity(spark):
+    far = "the rest is plain text " * 20
+    rows = [(k, f"Zorro\nbob@ex.com\n{far}{k} zorro", "x") for k in range(6)] + [(10 + k, f"the rest is plain text {k}", "x") for k in range(600)] + [(9, "the rest is plain text", "x")]
+    out = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string, spans string")).collect()}
+    assert out[3] == f"<TERM>\n<EMAIL>\n{far}3 <TERM>" and out[9] == rows[-1][1]
+
+
 # 10
 
 
