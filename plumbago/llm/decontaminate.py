@@ -131,24 +131,28 @@ def scan(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS,
     """The columns ``keep`` of docs (all by default) with n_words, runs (hit words: word numbers, code points, end exclusive) and items, in a struct ``found``."""
     keep = docs.columns if keep is None else keep
     found = "found" if "found" not in [c.lower() for c in keep] else fresh(docs, "found")
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(found, _FOUND)])
+    indexes = _indexes(benchmark, block_chars)
+    digest = fresh(docs, "digest")
+    rows = docs.withColumn(digest, row_key(F.col("text"))) if len(indexes) > 1 else docs  # tells rows apart whose kept columns are equal
+    carried = [*keep, digest] if len(indexes) > 1 else keep
+    schema = T.StructType([*(rows.schema[c] for c in carried), T.StructField(found, _FOUND)])
     types = arrow_schema(schema)
-    one = docs.select(*keep, F.col("text").cast("string").alias(text := fresh(docs, "scanned")))
+    one = rows.select(*carried, F.col("text").cast("string").alias(text := fresh(docs, "scanned")))
     parts = []
-    for index in _indexes(benchmark, block_chars):
+    for index in indexes:
         told = docs.sparkSession.sparkContext.broadcast(index)
 
         def work(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for i, j, counts, runs, items in _scan(batch.column(len(keep)), told.value):
+                for i, j, counts, runs, items in _scan(batch.column(len(carried)), told.value):
                     struct = pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(runs, types.field(found).type.field("runs").type), pa.array(items, pa.list_(pa.string()))], fields=list(types.field(found).type))
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i).cast(types.field(c).type) for c in range(len(keep))), struct], schema=types)
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i).cast(types.field(c).type) for c in range(len(carried))), struct], schema=types)
 
         parts.append(one.mapInArrow(work, schema))
     if len(parts) == 1:
         return parts[0]
     merged = parts[0]
-    key = row_key(*(F.to_json(F.struct(F.col(c))) for c in keep)) if keep else F.lit(b"")
+    key = row_key(*(F.to_json(F.struct(F.col(c))) for c in keep), F.hex(digest))
     rest = [p.select(key.alias("_key"), found).dropDuplicates(["_key"]) for p in parts[1:]]
     merged = merged.withColumn("_key", key)
     for k, r in enumerate(rest):

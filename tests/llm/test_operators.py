@@ -151,6 +151,16 @@ def test_decontamination(spark):
     assert decontaminate.clean(docs.limit(0), bench.limit(0)).count() == 0
 
 
+def test_blocks_of_a_benchmark_judge_rows_by_their_text(spark):
+    bench = spark.createDataFrame([(k, " ".join(f"{c}{j}" for j in range(9))) for k, c in enumerate("abc")], "item_id long, text string")
+    said = {c: " ".join(f"{c}{j}" for j in range(9)) for c in "abc"}
+    rows = [(None, said["a"]), (None, said["b"]), (None, None), (None, said["b"]), (7, said["c"]), (7, "plain"), (7, said["b"] + " " + said["c"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for chars in (decontaminate.BLOCK_CHARS, 5):
+        got = sorted(((r.doc_id or 0), r.found.n_words, tuple(r.found["items"])) for r in decontaminate.scan(docs, bench, chars, keep=["doc_id"]).collect())
+        assert got == sorted([(0, 9, ("0",)), (0, 9, ("1",)), (0, 0, ()), (0, 9, ("1",)), (7, 9, ("2",)), (7, 1, ()), (7, 18, ("1", "2"))])
+
+
 # 3
 
 
