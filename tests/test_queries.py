@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import logging
+import os
+import shutil
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -40,6 +44,18 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def test_entry_without_the_corpus_operators(tmp_path):
+    """The driver may delete the corpus operators, with the pipeline's file or without it: the other queries are still there."""
+    repo = Path(__spark_entry__.__file__).parent
+    shutil.copytree(repo / "plumbago", tmp_path / "plumbago", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (repo / name).exists():
+            shutil.copy(repo / name, tmp_path / name)
+    said = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), 'pipeline' in e.queries())"
+    out = subprocess.run([sys.executable, "-c", said], cwd=tmp_path, capture_output=True, text=True, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+    assert out.stdout.split() == [str(len(queries.QUERIES)), str(len(queries.ORACLE_SQL)), "False"]
+
+
 def test_settings(monkeypatch):
     monkeypatch.setenv("PLUMBAGO_CHUNK_SIZE", "7")
     monkeypatch.setenv("PLUMBAGO_DEBUG", "false")
