@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side of a join is broadcast only if a count has shown it to have no more rows than this; beyond it the join shuffles.
-BROADCAST_ROWS = 100_000
+#: A side of a join is broadcast only if it was counted to have no more rows and bytes than these; beyond them the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -20,9 +22,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast if the counted size allows it."""
-    return F.broadcast(df) if rows <= limit else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast if the counted rows and bytes allow it. ``df`` is read once more for that: a kept or cheap frame."""
+    plain = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)
+
+    def width(f: T.StructField) -> Column:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, plain):
+            return F.lit(8)
+        return F.coalesce(F.octet_length(c if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.to_json(F.struct(c))), F.lit(0)) + 16
+
+    n, held = df.agg(F.count("*"), F.sum(reduce(lambda a, b: a + b, map(width, df.schema.fields)).cast("long"))).first()
+    return F.broadcast(df) if n <= rows and (held or 0) <= size else df
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

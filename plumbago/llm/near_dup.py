@@ -270,7 +270,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     of_node = _classes(base)
     keyed = base.select("doc_id", F.unhex(F.md5("text")).alias("node"))
-    out = keyed.join(small(of_node, of_node.count()), "node", "left")
+    out = keyed.join(small(of_node), "node", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), (F.col("class_size").isNull() | F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
 
 
@@ -278,11 +278,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs, one for each class: that of the smallest doc_id, once if it is repeated. All columns stay. Only rows without copies skip the last shuffle."""
     node, extra = fresh(docs, "node"), [fresh(docs, "class_id"), fresh(docs, "class_size")]
     of_node = _classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    of_node = of_node.toDF(node, *extra)
-    rows = of_node.count()
+    of_node = small(of_node.toDF(node, *extra))
     keyed = docs.withColumn(node, F.unhex(F.md5(F.col("text").cast("string"))))
-    alone = keyed.join(small(of_node, rows), node, "left_anti")
-    first = keyed.join(small(of_node, rows), node).filter(F.col("doc_id").eqNullSafe(F.col(extra[0]))).dropDuplicates(["doc_id", node])
+    alone = keyed.join(of_node, node, "left_anti")
+    first = keyed.join(of_node, node).filter(F.col("doc_id").eqNullSafe(F.col(extra[0]))).dropDuplicates(["doc_id", node])
     return alone.select(*docs.columns).union(first.select(*docs.columns))
 
 
@@ -342,7 +341,7 @@ def _texts(base: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """node, text of the wanted nodes: one row each but for rows that are repeated as they are."""
     wanted = checkpoint(wanted.join(nodes.select("node", "id"), "node"))
     keyed = base.withColumn("node", F.unhex(F.md5("text")))
-    return checkpoint(keyed.join(small(wanted, wanted.count()).withColumnRenamed("node", "key"), (F.col("node") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text").dropDuplicates(["node"]))
+    return checkpoint(keyed.join(small(wanted).withColumnRenamed("node", "key"), (F.col("node") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text").dropDuplicates(["node"]))
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

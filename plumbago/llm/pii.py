@@ -8,7 +8,8 @@ Base kinds, leftmost and non-overlapping within each; a match that fails its che
 * phone ``\\+[0-9][\\x20().0-9-]+[0-9]`` of 8 to 15 digits.
 
 The expressions run with possessive quantifiers and a look-behind that skips places at which no leftmost match can begin, which changes no match but makes them linear
-and keeps them off the stack. No function of Spark gives all offsets of a pattern, so they are summed up from the lengths of the pieces between matches.
+and keeps them off the stack. No function of Spark gives all offsets of a pattern, so they are summed up from the lengths of the pieces between matches, by running totals that take a
+logarithmic number of linear steps.
 
 Information-theoretic sanitisation. Protected entities are the normalised values of base spans. Terms are words (runs of letters), lower-cased, and co-occur with an entity if a document
 holds both. Over all documents, n(t, e) counts the occurrences of term t in documents that hold e, n(t) those in the corpus, n(e) the words of documents that hold e, N all words;
@@ -18,6 +19,8 @@ occurrence is likelier with e than without, m > (m n(t) / n(t, e) + 1) / 2. No c
 in all is no evidence of either. Every occurrence of a disclosing term in a document that holds its entity becomes a span of kind ``term``, outside base spans. sanitise() puts ``<EMAIL>`` and so on for
 base spans and ``<TERM>`` for terms.
 
+Cost. No step is quadratic in the spans or the length of a text: overlaps are found by running maxima, and texts are put together again from blocks of PIECE code points.
+
 Corpus counts cover all rows. Words are pre-aggregated per text and term, and only terms with most of their occurrences beside entities are paired with them; entities of one and the same single text are one class. What is small is broadcast only if its count allows it.
 
 Cases. A null text is empty and stays null; empty texts have no spans. Offsets count code points, ends are exclusive. Rows with the same doc_id and text have the same spans; a null doc_id is like any
@@ -33,6 +36,8 @@ from plumbago.llm.cluster import checkpoint, fresh, read, row_key, small
 
 KINDS = ("email", "ip", "card", "phone")
 THETA = 0.9
+#: Code points of the blocks that a text is put together from.
+PIECE = 1024
 _LOCAL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
     "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -47,13 +52,22 @@ _FOUND = "array<struct<start:int,end:int,value:string>>"
 _NONE = f"cast(array() as {_FOUND})"
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """SQL for a body in which a name stands for a value that is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def running(x: str, step: str = "p + q", zero: str = "0") -> str:
+    """SQL for running totals of an array of integers (or running maxima): after k steps every element holds what the 2**k up to it give."""
+    shifted = f"concat(array_repeat({zero}, shiftleft(1, k)), slice(a, 1, size(a) - shiftleft(1, k)))"
+    return _let("x", x, f"aggregate(filter(sequence(0, 30), k -> shiftleft(1, k) < size(x)), x, (a, k) -> zip_with(a, {shifted}, (p, q) -> {step}))")
+
+
 def located(text: str, pattern: str) -> str:
     """SQL for all matches of a pattern: an array of start, end, value."""
-    return f"""aggregate(
-      zip_with(regexp_extract_all({text}, r'{pattern}', 0), split({text}, r'{pattern}', -1), (m, g) -> named_struct('g', length(g), 'm', m)),
-      cast(named_struct('at', 0, 'out', array()) as struct<at:int,out:{_FOUND}>),
-      (a, x) -> named_struct('at', a.at + x.g + coalesce(length(x.m), 0), 'out', if(x.m is null, a.out, concat(a.out, array(named_struct('start', a.at + x.g, 'end', a.at + x.g + length(x.m), 'value', x.m))))),
-      a -> a.out)"""
+    ends = running("zip_with(f.m, slice(f.g, 1, size(f.m)), (m, g) -> length(m) + length(g))")
+    found = f"named_struct('m', regexp_extract_all({text}, r'{pattern}', 0), 'g', split({text}, r'{pattern}', -1))"
+    return _let("f", found, f"zip_with(f.m, {ends}, (m, e) -> named_struct('start', e - length(m), 'end', e, 'value', m))")
 
 
 _DIGITS = "regexp_replace(s.value, '[^0-9]', '')"
@@ -118,22 +132,23 @@ def _terms(docs: DataFrame, found: DataFrame, theta: float) -> DataFrame:
     """key and the places of disclosing terms, for rows that have any."""
     held, pairs = disclosing(docs, found, theta)
     said = checkpoint(held.select("same", "class").distinct().join(pairs, "class").select("same", "term").distinct())
-    n = said.count()
-    texts = found.filter("t is not null").dropDuplicates(["same"]).join(small(said.select("same").distinct(), n), "same", "left_semi")
+    texts = found.filter("t is not null").dropDuplicates(["same"]).join(small(said.select("same").distinct()), "same", "left_semi")
     pieces = texts.select("same", F.posexplode(F.expr(f"zip_with(split(t, r'{_WORD}', -1), regexp_extract_all(t, r'{_WORD}', 0), (g, w) -> named_struct('g', length(g), 'w', w))")).alias("at", "x")).filter("x.w is not null")
     ends = F.sum(F.expr("x.g + length(x.w)")).over(Window.partitionBy("same").orderBy("at")).cast("int")
     places = pieces.select("same", F.lower("x.w").alias("term"), (ends - F.length("x.w")).alias("start"), ends.alias("end"))
-    hit = places.join(small(said, n), ["same", "term"], "left_semi").groupBy("same").agg(F.collect_list(F.struct("start", "end", F.col("term").alias("value"))).alias("term"))
-    rows = found.filter("t is not null").dropDuplicates(["key"]).select("key", "same", F.expr("concat(" + ", ".join(KINDS) + ")").alias("base")).join(hit, "same")
-    clear = "filter(term, w -> not exists(base, b -> b.start < w.end and b.end > w.start))"
-    return checkpoint(rows.select("key", F.array_sort(F.expr(clear)).alias("term")).filter("size(term) > 0"))
+    hit = places.join(small(said), ["same", "term"], "left_semi").select("same", (F.col("end") - 1).alias("at"), F.lit(1).alias("word"), "start", "end", "term")
+    base = texts.select("same", F.explode(F.expr("concat(" + ", ".join(KINDS) + ")")).alias("b")).select("same", F.col("b.start").alias("at"), F.lit(0).alias("word"), "b.start", "b.end", F.lit(None).cast("string").alias("term"))
+    over = F.max(F.when(F.col("word") == 0, F.col("end"))).over(Window.partitionBy("same").orderBy("at", "word").rowsBetween(Window.unboundedPreceding, 0))  # base spans that begin before the word's end
+    clear = hit.union(base).withColumn("over", over).filter("word = 1 and coalesce(over, 0) <= start")
+    found_in = clear.groupBy("same").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("term").alias("value")))).alias("term"))
+    return checkpoint(found.filter("t is not null").select("key", "same").distinct().join(found_in, "same").select("key", "term"))
 
 
 def personal_data(docs: DataFrame, theta: float = THETA) -> DataFrame:
     """doc_id, key, and the arrays email, ip, card, phone, term of start, end, value: a row for each row of docs."""
     found = _found(docs)
     terms = _terms(docs, found, theta)
-    return found.join(small(terms, terms.count()), "key", "left").select("doc_id", "key", *KINDS, F.coalesce("term", F.expr(_NONE)).alias("term"))
+    return found.join(small(terms), "key", "left").select("doc_id", "key", *KINDS, F.coalesce("term", F.expr(_NONE)).alias("term"))
 
 
 def sanitise(docs: DataFrame, theta: float = THETA) -> DataFrame:
@@ -141,14 +156,26 @@ def sanitise(docs: DataFrame, theta: float = THETA) -> DataFrame:
     key, spans = fresh(docs, "key"), fresh(docs, "spans")
     every = personal_data(docs, theta)
     marked = "concat(" + ", ".join(f"transform({k}, s -> named_struct('start', s.start, 'end', s.end, 'kind', upper('{k}')))" for k in (*KINDS, "term")) + ")"
-    apart = f"""aggregate(array_sort({marked}), cast(array() as array<struct<start:int,end:int,kind:string>>), (a, s) -> if(size(a) > 0 and s.start < element_at(a, -1).end,
-      concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, s.end), 'kind', element_at(a, -1).kind))), concat(a, array(s))))"""
-    found = checkpoint(every.select("key", F.expr(apart).alias("spans")).filter("size(spans) > 0").dropDuplicates(["key"]))
-    named = found.toDF(key, spans)
-    rows = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text"))).join(small(named, named.count()), key, "left")
-    pieces = f"""concat(array_join(transform({spans}, (s, i) -> concat(substring(text, if(i = 0, 0, element_at({spans}, i).end) + 1, s.start - if(i = 0, 0, element_at({spans}, i).end)), '<', s.kind, '>')), ''),
-      substring(text, element_at({spans}, -1).end + 1))"""
-    return rows.withColumn("text", F.when(F.col(spans).isNotNull(), F.expr(pieces)).otherwise(F.col("text"))).select(*docs.columns)
+    found = checkpoint(every.select("key", F.expr(marked).alias("spans")).filter("size(spans) > 0").select("key", F.expr(_apart("spans")).alias("spans")).dropDuplicates(["key"]))
+    rows = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text"))).join(small(found.toDF(key, spans)), key, "left")
+    return rows.withColumn("text", F.when(F.col(spans).isNotNull(), F.expr(_replaced("text", spans))).otherwise(F.col("text"))).select(*docs.columns)
+
+
+def _apart(spans: str) -> str:
+    """SQL for spans in order, those that overlap joined and named after the first: a span begins a new one if none before it reaches its start."""
+    upto = running("transform(s, y -> y.end)", "greatest(p, q)")
+    firsts = "filter(sequence(0, size(s) - 1), i -> i = 0 or s[i].start >= m[i - 1])"
+    joined = "transform(f, (i, j) -> named_struct('start', s[i].start, 'end', m[if(j + 1 < size(f), f[j + 1], size(s)) - 1], 'kind', s[i].kind))"
+    return _let("s", f"array_sort({spans})", _let("m", upto, _let("f", firsts, joined)))
+
+
+def _replaced(text: str, spans: str) -> str:
+    """SQL for a text with ``<KIND>`` in the place of each of its spans, which are apart and in order."""
+    cut = f"""if(o.a >= o.b, '', if(o.a div {PIECE} = (o.b - 1) div {PIECE}, substring(c[cast(o.a div {PIECE} as int)], o.a % {PIECE} + 1, o.b - o.a),
+      concat(substring(c[cast(o.a div {PIECE} as int)], o.a % {PIECE} + 1), array_join(slice(c, cast(o.a div {PIECE} as int) + 2, cast((o.b - 1) div {PIECE} - o.a div {PIECE} as int) - 1), ''), substring(c[cast((o.b - 1) div {PIECE} as int)], 1, (o.b - 1) % {PIECE} + 1))))"""
+    between = f"""concat(transform({spans}, (s, i) -> named_struct('a', if(i = 0, 0, get({spans}, i - 1).end), 'b', s.start, 'mark', concat('<', s.kind, '>'))),
+      array(named_struct('a', element_at({spans}, -1).end, 'b', length({text}), 'mark', '')))"""
+    return _let("c", f"regexp_extract_all({text}, '(?s).{{1,{PIECE}}}', 0)", f"array_join(transform({between}, o -> concat({cut}, o.mark)), '')")
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,10 +112,10 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, default: str =
 
     maybe = urls.mapInArrow(work, "key string, entry string")
     known = known.select("entry", "first", "verdict")
-    fits = maybe.join(small(known, entries), "entry").groupBy("key").agg(F.max(F.struct("first", F.length("entry").alias("n"), "entry", "verdict")).alias("best"))
+    fits = maybe.join(small(known), "entry").groupBy("key").agg(F.max(F.struct("first", F.length("entry").alias("n"), "entry", "verdict")).alias("best"))
     fits = checkpoint(fits.select(F.col("key").alias(key := fresh(pages, "key")), F.when(F.col("best.first") == 1, F.col("best.entry")).alias("rule"), F.col("best.verdict").alias("verdict")))
     rows = pages.withColumn(key, F.md5("url")).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    return rows.join(small(fits, fits.count()), key, "left").withColumn("verdict", F.coalesce("verdict", F.lit(default))).drop(key)
+    return rows.join(small(fits), key, "left").withColumn("verdict", F.coalesce("verdict", F.lit(default))).drop(key)
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

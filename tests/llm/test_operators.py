@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -387,6 +389,67 @@ def test_terms_far_from_their_entity(spark):
     assert out[3] == f"<TERM>\n<EMAIL>\n{far}3 <TERM>" and out[9] == rows[-1][1]
 
 
+def disclosed(rows, theta=pii.THETA):
+    """The spans of terms by the module's formulas, in plain Python: {(doc_id, text): sorted spans}."""
+    value = {"email": str.lower, "ip": str, "card": lambda v: re.sub("[^0-9]", "", v), "phone": lambda v: re.sub("[^0-9]", "", v)}
+    spans = lambda t: [(k, m.start(), m.end(), f"{k}:{value[k](m.group())}") for k in pii.KINDS for m in re.finditer(BASE[k], t) if holds(k, m.group())]
+    said = lambda t: [w.lower() for w in re.findall(r"[^\W\d_]+", t)]
+    copies = Counter(t or "" for _, t in rows)
+    corpus = Counter(w for t, n in copies.items() for w in said(t) * n)
+    total = sum(corpus.values())
+    held = {t: {e for *_, e in spans(t)} for t in copies}
+    out = {}
+    for entity in set().union(*held.values()):
+        texts = [t for t in copies if entity in held[t]]
+        p = sum(len(said(t)) * copies[t] for t in texts) / total
+        for w in {w for t in texts for w in said(t)}:
+            m, n = sum(said(t).count(w) for t in texts), sum(said(t).count(w) * copies[t] for t in texts)
+            beside = sum(said(t).count(w) * c for t, c in copies.items() if held[t])
+            scale = m * corpus[w] / n + 1
+            if 2 * beside > corpus[w] and 2 * m > scale and math.log2((m + p) / scale / p) >= -theta * math.log2(p):
+                for t in texts:
+                    for x in re.finditer(r"[^\W\d_]+", t):
+                        if x.group().lower() == w and not any(a < x.end() and b > x.start() for _, a, b, _ in spans(t)):
+                            out.setdefault(t, set()).add((x.start(), x.end(), w))
+    return {t: sorted(s) for t, s in out.items()}
+
+
+def test_terms_against_brute_force(spark):
+    r = random.Random(12)
+    plain, rare = [f"w{c}" for c in "abcdefghij"], ["zorro", "quartz", "Étoile", "vexing", "numbat"]
+    entity = ["bob@ex.com", "1.2.3.4", "+49 30 1234567", "amy@zorro.org", "4111 1111 1111 1111"]
+    texts = []
+    for _ in range(150):
+        w = [r.choice(plain) for _ in range(r.randrange(3, 30))]
+        if r.random() < 0.3:
+            k = r.randrange(5)
+            for x in [entity[k]] * r.randrange(1, 3) + [rare[k]] * r.randrange(3):
+                w.insert(r.randrange(len(w)), x)
+        texts.append(" ".join(w))
+    rows = [(k, t) for k, t in enumerate(texts + texts[:20] + [None, "", "x" * 30])]
+    want = disclosed(rows)
+    got = pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and sum(len(x.term) for x in got) > 20
+    for x in got:
+        assert [tuple(s) for s in x.term] == want.get(dict(rows)[x.doc_id] or "", []), x.doc_id
+
+
+def test_a_dense_text_takes_linear_time(spark):
+    n = 50_000
+    dense = "bob@ex.com 1.2.3.4 zorro\n" * n
+    rows = [(1, dense, "k"), (2, "the rest", "k"), (3, None, "k")] + [(9 + k, f"the rest is plain {k}", "k") for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string").repartition(2)
+    start = time.perf_counter()
+    out = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert time.perf_counter() - start < 120
+    assert out[1] == "<EMAIL> <IP> <TERM>\n" * n and out[2] == "the rest" and out[3] is None
+
+
+def test_pii_on_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, term string")
+    assert pii.sanitise(none).count() == pii.personal_data(none).count() == 0
+
+
 # 10
 
 
