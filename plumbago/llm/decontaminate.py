@@ -1,59 +1,67 @@
 """Benchmark decontamination by a broadcast hash set of normalised test n-grams.
 
 Every item of the benchmark becomes its windows of eight consecutive words (one window of all its words if it has fewer, none if it has
-no words). The windows' hashes are sent to all executors behind a check of their size; documents are tokenised and hashed in numpy, a bitmap
-drops nearly all positions, a sorted search the rest, and every hit is verified word by word. A benchmark of more windows than the bound
-is handled in several blocks of whole items, each scanned the same way, and the findings of a document are merged; nothing is left out.
+no words). The windows' hashes, sorted, and the normalised texts that they point into are sent to all executors in blocks of a bounded number of windows; documents are tokenised and hashed in numpy, a bitmap
+drops nearly all positions, a sorted search the rest, and every hit is verified word by word. All blocks are scanned the same way: the first tells the number of words of every row, every one the rows that it hits, and
+the findings of a row are merged by a key of the columns kept and its text. Nothing is left out.
+
+Cost. A window takes some 30 bytes beside its text. The driver makes one block at a time and drops it once it is sent.
 
 Cases. Null and empty texts have no words: no hits, and as benchmark items no windows. Items that share a window are all reported. Repeated
 rows of documents are judged each; repeated item_ids count once; a null item_id is reported as "null". Very long texts are whole: they are hashed
-in pieces of bounded memory. Empty tables give empty results. Further columns are kept by clean() and ignored by scan().
+in pieces of bounded memory; an item longer than a block is cut into blocks that overlap by a window. Empty tables give empty results. Further columns are kept by clean() and ignored by scan().
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbago.llm.cluster import fresh, read, row_key
+from plumbago.llm.arrays import let, replaced, running
+from plumbago.llm.cluster import checkpoint, fresh, read, row_key, small
 from plumbago.llm.text import Words, arrow_schema, blocks, grams, words_of
 
 WINDOW = 8
 #: A document with this many items counts as contaminated.
 ITEMS = 2
-#: Most characters of benchmark text in one broadcast; a larger benchmark is cut into blocks.
-BLOCK_CHARS = 16 << 20
+#: Most windows in one broadcast; a larger benchmark is cut into blocks.
+BLOCK_WINDOWS = 1 << 20
 _BITS = 22
 
 
 class Index:
-    """Windows of some items by length: a bitmap, sorted hashes, and for each hash the windows' words with their items."""
-
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
-        self.window = window
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.windows: dict[tuple[int, int], dict[bytes, set[str]]] = {}
-        found: dict[int, set[int]] = {}
-        for item, text in items:
-            data = (text or "").encode("utf-8", "surrogatepass")
+    """Windows of some items: for each length a bitmap, the sorted hashes, and for each entry where its words lie in the normalised texts and which item it is of. Equal hashes stand together."""
+
+    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
+        """items: each with its words, lower-cased."""
+        self.items = sorted({i for i, _ in items})
+        number = {i: k for k, i in enumerate(self.items)}
+        self.said = b" ".join(b" ".join(w) for _, w in items)
+        self.by_length: dict[int, tuple[np.ndarray, ...]] = {}
+        found: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        at = 0
+        for item, w in items:
+            size = np.array([len(x) + 1 for x in w], np.int64)
+            begin = at + np.cumsum(size) - size
+            n = min(window, len(w))
+            data = b" ".join(w)
             words = words_of(data, np.array([0, len(data)]))
-            if not len(words):
-                continue
-            n = min(window, len(words))
-            h, at = grams(words.hashes(), words.first, n)
-            for g, i in zip(h.tolist(), at.tolist(), strict=True):
-                found.setdefault(n, set()).add(g)
-                self.windows.setdefault((n, g), {}).setdefault(_said(words, i, n), set()).add(item)
-        for n, hashes in found.items():
-            listed = np.array(sorted(hashes), np.uint64)
+            h, first = grams(words.hashes(), words.first, n)
+            found.setdefault(n, []).append((h, begin[first], begin[first + n - 1] + size[first + n - 1] - 1, np.full(len(h), number[item], np.int32)))
+            at += len(data) + 1
+        for n, parts in found.items():
+            h, begin, end, item = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(h, kind="stable")
             bitmap = np.zeros(1 << _BITS, bool)
-            bitmap[listed >> np.uint64(64 - _BITS)] = True
-            self.by_length[n] = (bitmap, listed)
+            bitmap[h >> np.uint64(64 - _BITS)] = True
+            self.by_length[n] = (bitmap, h[order], begin[order], end[order], item[order])
 
     def hits(self, words: Words) -> tuple[np.ndarray, dict[int, set[str]]]:
         """Which words lie inside an occurrence of a window, and the items found in each text."""
@@ -61,23 +69,19 @@ class Index:
         if not len(words):
             return hit, items
         hashes = words.hashes()
-        for n, (bitmap, listed) in self.by_length.items():
+        for n, (bitmap, listed, begin, end, item) in self.by_length.items():
             g, at = grams(hashes, words.first, n)
             maybe = np.flatnonzero(bitmap[g >> np.uint64(64 - _BITS)])
             g, at = g[maybe], at[maybe]
-            place = np.searchsorted(listed, g)
-            place[place == len(listed)] = 0
-            maybe = np.flatnonzero(listed[place] == g)
+            low, high = np.searchsorted(listed, g), np.searchsorted(listed, g, "right")
+            maybe = np.flatnonzero(low < high)
             text = np.searchsorted(words.first, at[maybe], "right") - 1
-            for h, i, k in zip(g[maybe].tolist(), at[maybe].tolist(), text.tolist(), strict=True):
-                if (of := self.windows[n, h].get(_said(words, i, n))) is not None:
+            for i, a, b, k in zip(at[maybe].tolist(), low[maybe].tolist(), high[maybe].tolist(), text.tolist(), strict=True):
+                said = b" ".join([words.word(x) for x in range(i, i + n)])
+                if of := {int(item[e]) for e in range(a, b) if self.said[begin[e] : end[e]] == said}:
                     hit[i : i + n] = True
                     items.setdefault(k, set()).update(of)
-        return hit, items
-
-
-def _said(words: Words, i: int, n: int) -> bytes:
-    return b" ".join([words.word(k) for k in range(i, i + n)])
+        return hit, {k: {self.items[x] for x in of} for k, of in items.items()}
 
 
 _FOUND = T.StructType(
@@ -114,56 +118,70 @@ def _scan(column: pa.Array, index: Index) -> Iterator[tuple[int, int, np.ndarray
         yield i, j, words.counts, runs, [sorted(items.get(k, ())) for k in range(j - i)]
 
 
-def _indexes(benchmark: DataFrame, most: int) -> list[Index]:
-    """The benchmark's blocks; a driver holds one at a time."""
+def _blocks(benchmark: DataFrame, most: int) -> Iterator[Index]:
+    """The benchmark by blocks of at most ``most`` windows, one at a time; at least one, though it be empty."""
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    out, held, size = [], [], 0
+    held, size, made = [], 0, 0
     for item, text in rows.toLocalIterator():
-        if held and size + len(text) > most:
-            out.append(Index(held))
-            held, size = [], 0
-        held.append((item, text))
-        size += len(text)
-    return [*out, Index(held)]
-
-
-def scan(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS, keep: list[str] | None = None) -> DataFrame:
+        data = text.encode("utf-8", "surrogatepass")
+        words = words_of(data, np.array([0, len(data)]))
+        said = [words.word(k) for k in range(len(words))]
+        while said:
+            windows = max(1, len(said) - WINDOW + 1)
+            if held and size + windows > most:
+                yield Index(held)
+                held, size, made = [], 0, made + 1
+            some = said if windows <= most else said[: most + WINDOW - 1]
+            held.append((item, some))
+            size += max(1, len(some) - WINDOW + 1)
+            said = said[most:] if windows > most else []
+    if held or not made:
+        yield Index(held)
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of docs (all by default) with n_words, runs (hit words: word numbers, code points, end exclusive) and items, in a struct ``found``."""
     keep = docs.columns if keep is None else keep
     found = "found" if "found" not in [c.lower() for c in keep] else fresh(docs, "found")
-    indexes = _indexes(benchmark, block_chars)
-    digest = fresh(docs, "digest")
-    rows = docs.withColumn(digest, row_key(F.col("text"))) if len(indexes) > 1 else docs  # tells rows apart whose kept columns are equal
-    carried = [*keep, digest] if len(indexes) > 1 else keep
-    schema = T.StructType([*(rows.schema[c] for c in carried), T.StructField(found, _FOUND)])
+    sc = docs.sparkSession.sparkContext
+    told = [sc.broadcast(index) for index in _blocks(benchmark, block_windows)]
+    key, text = fresh(docs, "key"), fresh(docs, "scanned")
+    keyed = docs.select(*keep, F.col("text").cast("string").alias(text))
+    if len(told) == 1:
+        return _scanned(keyed, keep, text, told[0], found)
+    rows = keyed.withColumn(key, row_key(*(F.to_json(F.struct(F.col(f"`{c}`"))) for c in keep), F.md5(text)))  # rows that share it share their findings
+    whole = _scanned(rows.select(*keep, key, text), [*keep, key], text, told[0], found)
+    rest = [_scanned(rows.select(key, text), [key], text, index, found, True) for index in told[1:]]
+    also = reduce(lambda a, b: a.union(b), rest).distinct().groupBy(F.col(key).alias(other := fresh(whole, "other"))).agg(F.flatten(F.collect_list(f"{found}.runs")).alias("r"), F.flatten(F.collect_list(f"{found}.items")).alias("i"))  # at most one row a block
+    also = checkpoint(also.select(other, F.struct("r", "i").alias(more := fresh(whole, "more"))))
+    joined = whole.join(small(also), F.col(key) == F.col(other), "left")
+    f, m = F.col(found), F.col(more)
+    both = F.when(m.isNull(), f).otherwise(F.struct(f["n_words"].alias("n_words"), F.expr(_joined(f"concat({found}.runs, {more}.r)")).cast(_FOUND["runs"].dataType).alias("runs"), F.array_sort(F.array_distinct(F.concat(f["items"], m["i"]))).alias("items")))
+    return joined.select(*keep, both.alias(found))
+
+
+def _joined(runs: str) -> str:
+    """SQL for runs of several blocks in order, those that meet made one."""
+    upto = lambda part: running(f"transform(s, y -> y.{part})", "greatest(p, q)")
+    last = "if(j + 1 < size(f), f[j + 1], size(s)) - 1"
+    made = f"transform(f, (i, j) -> named_struct('first', s[i].first, 'after', m.after[{last}], 'start', s[i].start, 'end', m.end[{last}]))"
+    firsts = "filter(sequence(0, size(s) - 1), i -> i = 0 or s[i].first > m.after[i - 1])"
+    return let("s", f"array_sort({runs})", let("m", f"named_struct('after', {upto('after')}, 'end', {upto('end')})", let("f", firsts, made)))
+
+
+def _scanned(rows: DataFrame, keep: list[str], text: str, told: Broadcast, found: str, hits_only: bool = False) -> DataFrame:
+    """The columns ``keep`` (the first of rows) and the findings in the last column, ``text``; of all rows, or of those with findings."""
+    schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField(found, _FOUND)])
     types = arrow_schema(schema)
-    one = rows.select(*carried, F.col("text").cast("string").alias(text := fresh(docs, "scanned")))
-    parts = []
-    for index in indexes:
-        told = docs.sparkSession.sparkContext.broadcast(index)
-
-        def work(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i, j, counts, runs, items in _scan(batch.column(len(carried)), told.value):
-                    struct = pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(runs, types.field(found).type.field("runs").type), pa.array(items, pa.list_(pa.string()))], fields=list(types.field(found).type))
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i).cast(types.field(c).type) for c in range(len(carried))), struct], schema=types)
-
-        parts.append(one.mapInArrow(work, schema))
-    if len(parts) == 1:
-        return parts[0]
-    merged = parts[0]
-    key = row_key(*(F.to_json(F.struct(F.col(c))) for c in keep), F.hex(digest))
-    rest = [p.select(key.alias("_key"), found).dropDuplicates(["_key"]) for p in parts[1:]]
-    merged = merged.withColumn("_key", key)
-    for k, r in enumerate(rest):
-        merged = merged.join(r.withColumnRenamed(found, f"_f{k}"), "_key")
-    every = lambda part: F.flatten(F.array(*(F.col(f"{f}.{part}") for f in [found, *(f"_f{k}" for k in range(len(rest)))])))
-    runs = F.aggregate(
-        F.array_sort(every("runs")),
-        F.array().cast(_FOUND["runs"].dataType),
-        lambda acc, r: F.when((F.size(acc) > 0) & (r["first"] <= F.element_at(acc, -1)["after"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["first"].alias("first"), F.greatest(F.element_at(acc, -1)["after"], r["after"]).alias("after"), F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], r["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(r))),
-    )
-    return merged.select(*keep, F.struct(F.col(f"{found}.n_words").alias("n_words"), runs.alias("runs"), F.array_sort(F.array_distinct(every("items"))).alias("items")).alias(found))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, counts, runs, items in _scan(batch.column(len(keep)), told.value):
+                struct = pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(runs, types.field(found).type.field("runs").type), pa.array(items, pa.list_(pa.string()))], fields=list(types.field(found).type))
+                out = pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i).cast(types.field(c).type) for c in range(len(keep))), struct], schema=types)
+                yield out.filter(pa.array([bool(x) for x in items], pa.bool_())) if hits_only else out
+
+    return rows.select(*keep, text).mapInArrow(work, schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> DataFrame:
@@ -171,10 +189,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> DataFram
     found = scan(docs, benchmark)
     f = found.columns[-1]
     runs = F.col(f)["runs"]
-    before = F.concat(F.array(F.lit(0)), F.transform(runs, lambda r: r["end"]))
-    after = F.concat(F.transform(runs, lambda r: r["start"]), F.array(F.length("text")))
-    pieces = F.zip_with(before, after, lambda a, b: F.substring(F.col("text"), a + 1, b - a))
-    return found.filter(F.size(F.col(f)["items"]) < items).withColumn("text", F.when(F.size(runs) > 0, F.array_join(pieces, "")).otherwise(F.col("text"))).select(*docs.columns)
+    return found.filter(F.size(F.col(f)["items"]) < items).withColumn("text", F.when(F.size(runs) > 0, F.expr(replaced("text", f"{f}.runs", "''"))).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

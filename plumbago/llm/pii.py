@@ -19,7 +19,7 @@ occurrence is likelier with e than without, m > (m n(t) / n(t, e) + 1) / 2. No c
 in all is no evidence of either. Every occurrence of a disclosing term in a document that holds its entity becomes a span of kind ``term``, outside base spans. sanitise() puts ``<EMAIL>`` and so on for
 base spans and ``<TERM>`` for terms.
 
-Cost. No step is quadratic in the spans or the length of a text: overlaps are found by running maxima, and texts are put together again from blocks of PIECE code points.
+Cost. No step is quadratic in the spans or the length of a text: overlaps are found by running maxima, and texts are put together again from blocks (arrays.PIECE).
 
 Corpus counts cover all rows. Words are pre-aggregated per text and term, and only terms with most of their occurrences beside entities are paired with them; entities of one and the same single text are one class. What is small is broadcast only if its count allows it.
 
@@ -32,12 +32,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbago.llm.arrays import apart, let, replaced, running
 from plumbago.llm.cluster import checkpoint, fresh, read, row_key, small
 
 KINDS = ("email", "ip", "card", "phone")
 THETA = 0.9
-#: Code points of the blocks that a text is put together from.
-PIECE = 1024
 _LOCAL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
     "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -52,22 +51,11 @@ _FOUND = "array<struct<start:int,end:int,value:string>>"
 _NONE = f"cast(array() as {_FOUND})"
 
 
-def _let(name: str, value: str, body: str) -> str:
-    """SQL for a body in which a name stands for a value that is computed once."""
-    return f"transform(array({value}), {name} -> {body})[0]"
-
-
-def running(x: str, step: str = "p + q", zero: str = "0") -> str:
-    """SQL for running totals of an array of integers (or running maxima): after k steps every element holds what the 2**k up to it give."""
-    shifted = f"concat(array_repeat({zero}, shiftleft(1, k)), slice(a, 1, size(a) - shiftleft(1, k)))"
-    return _let("x", x, f"aggregate(filter(sequence(0, 30), k -> shiftleft(1, k) < size(x)), x, (a, k) -> zip_with(a, {shifted}, (p, q) -> {step}))")
-
-
 def located(text: str, pattern: str) -> str:
     """SQL for all matches of a pattern: an array of start, end, value."""
     ends = running("zip_with(f.m, slice(f.g, 1, size(f.m)), (m, g) -> length(m) + length(g))")
     found = f"named_struct('m', regexp_extract_all({text}, r'{pattern}', 0), 'g', split({text}, r'{pattern}', -1))"
-    return _let("f", found, f"zip_with(f.m, {ends}, (m, e) -> named_struct('start', e - length(m), 'end', e, 'value', m))")
+    return let("f", found, f"zip_with(f.m, {ends}, (m, e) -> named_struct('start', e - length(m), 'end', e, 'value', m))")
 
 
 _DIGITS = "regexp_replace(s.value, '[^0-9]', '')"
@@ -156,26 +144,9 @@ def sanitise(docs: DataFrame, theta: float = THETA) -> DataFrame:
     key, spans = fresh(docs, "key"), fresh(docs, "spans")
     every = personal_data(docs, theta)
     marked = "concat(" + ", ".join(f"transform({k}, s -> named_struct('start', s.start, 'end', s.end, 'kind', upper('{k}')))" for k in (*KINDS, "term")) + ")"
-    found = checkpoint(every.select("key", F.expr(marked).alias("spans")).filter("size(spans) > 0").select("key", F.expr(_apart("spans")).alias("spans")).dropDuplicates(["key"]))
+    found = checkpoint(every.select("key", F.expr(marked).alias("spans")).filter("size(spans) > 0").select("key", F.expr(apart("spans")).alias("spans")).dropDuplicates(["key"]))
     rows = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text"))).join(small(found.toDF(key, spans)), key, "left")
-    return rows.withColumn("text", F.when(F.col(spans).isNotNull(), F.expr(_replaced("text", spans))).otherwise(F.col("text"))).select(*docs.columns)
-
-
-def _apart(spans: str) -> str:
-    """SQL for spans in order, those that overlap joined and named after the first: a span begins a new one if none before it reaches its start."""
-    upto = running("transform(s, y -> y.end)", "greatest(p, q)")
-    firsts = "filter(sequence(0, size(s) - 1), i -> i = 0 or s[i].start >= m[i - 1])"
-    joined = "transform(f, (i, j) -> named_struct('start', s[i].start, 'end', m[if(j + 1 < size(f), f[j + 1], size(s)) - 1], 'kind', s[i].kind))"
-    return _let("s", f"array_sort({spans})", _let("m", upto, _let("f", firsts, joined)))
-
-
-def _replaced(text: str, spans: str) -> str:
-    """SQL for a text with ``<KIND>`` in the place of each of its spans, which are apart and in order."""
-    cut = f"""if(o.a >= o.b, '', if(o.a div {PIECE} = (o.b - 1) div {PIECE}, substring(c[cast(o.a div {PIECE} as int)], o.a % {PIECE} + 1, o.b - o.a),
-      concat(substring(c[cast(o.a div {PIECE} as int)], o.a % {PIECE} + 1), array_join(slice(c, cast(o.a div {PIECE} as int) + 2, cast((o.b - 1) div {PIECE} - o.a div {PIECE} as int) - 1), ''), substring(c[cast((o.b - 1) div {PIECE} as int)], 1, (o.b - 1) % {PIECE} + 1))))"""
-    between = f"""concat(transform({spans}, (s, i) -> named_struct('a', if(i = 0, 0, get({spans}, i - 1).end), 'b', s.start, 'mark', concat('<', s.kind, '>'))),
-      array(named_struct('a', element_at({spans}, -1).end, 'b', length({text}), 'mark', '')))"""
-    return _let("c", f"regexp_extract_all({text}, '(?s).{{1,{PIECE}}}', 0)", f"array_join(transform({between}, o -> concat({cut}, o.mark)), '')")
+    return rows.withColumn("text", F.when(F.col(spans).isNotNull(), F.expr(replaced("text", spans, "concat('<', s.kind, '>')"))).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

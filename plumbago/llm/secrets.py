@@ -15,7 +15,6 @@ rows are scanned each. Columns other than the text pass through find() unchanged
 
 from __future__ import annotations
 
-import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -26,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbago.llm.arrays import apart, replaced
 from plumbago.llm.cluster import fresh, read
 from plumbago.llm.text import arrow_schema
 
@@ -134,12 +134,10 @@ def find(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with ``[KIND]`` in the place of every secret; of spans that overlap, the one that begins first is named."""
     found = find(docs)
-    f = found.columns[-1]
-    apart = F.aggregate(F.col(f), F.array().cast(T.ArrayType(_SPAN)), lambda acc, s: F.when((F.size(acc) > 0) & (s["start"] < F.element_at(acc, -1)["end"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["kind"].alias("kind"), F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s))))
-    ends = F.concat(F.array(F.lit(0)), F.transform(F.col("_apart"), lambda s: s["end"]))
-    pieces = F.transform(F.col("_apart"), lambda s, i: F.concat(F.substring("text", F.element_at(ends, i + 1) + 1, s["start"] - F.element_at(ends, i + 1)), F.lit("["), F.upper(s["kind"]), F.lit("]")))
-    tail = F.expr("substring(text, element_at(_apart, -1).end + 1)")
-    return found.withColumn("_apart", apart).withColumn("text", F.when(F.size("_apart") > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(F.col("text"))).select(*docs.columns)
+    f, spans = found.columns[-1], fresh(found, "spans")
+    marked = f"transform({f}, s -> named_struct('start', s.start, 'end', s.end, 'kind', s.kind))"
+    marked = found.withColumn(spans, F.expr(apart(marked)))
+    return marked.withColumn("text", F.when(F.size(spans) > 0, F.expr(replaced("text", spans, "concat('[', upper(s.kind), ']')"))).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,16 +146,3 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("secrets", lambda s: s["kind"].isin(*BASE))
     return found.select("doc_id", *(count(k) for k in BASE), F.sha2(said(base), 256).alias("base_sha256"), said(F.col("secrets")).alias("spans"))
-
-
-def brute(text: str | None) -> list[tuple[int, int, int]]:
-    """The base spans by plain regular expressions over the whole text, to test against."""
-    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text or "") if len(m[2]) >= 8]
-    found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text or "") if m.end() - m.start() >= 16]
-    found += [(m.start(), 2, m.end()) for m in HEX.finditer(text or "") if m.end() - m.start() >= 32]
-    return sorted(found)
-
-
-def digest(found: list[tuple[int, int, int]]) -> str:
-    """What base_sha256 holds for these spans."""
-    return hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(found)).encode()).hexdigest()
