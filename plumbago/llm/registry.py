@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbago.llm import decontaminate, mixture, url_filter
+from plumbago.llm import decontaminate, url_filter
 from plumbago.llm.decontaminate import op2_benchmark_decontamination
 from plumbago.llm.media import op6_media_columns
 from plumbago.llm.mixture import op8_mixing_sources
@@ -34,5 +34,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_benchmark_decontamination": decontaminate.SQL,
     "op5_url_filters": url_filter.SQL,
-    "op8_mixing_sources": mixture.SQL,
 }
