@@ -106,14 +106,14 @@ def grams(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np
     return mix(g[at]), at
 
 
-def words_of(data: bytes, offsets: np.ndarray) -> Words:
-    """Tokenise texts stored back to back: text k is data[offsets[k]:offsets[k + 1]]."""
-    data = data.translate(LOWER)
+def words_of(data: bytes, offsets: np.ndarray, fold: bytes | None = LOWER, table: np.ndarray = IS_WORD) -> Words:
+    """Tokenise texts stored back to back: text k is data[offsets[k]:offsets[k + 1]]. A word is a run of bytes of ``table`` after ``fold``."""
+    data = data.translate(fold) if fold else data
     raw = np.frombuffer(data, np.uint8)
     n = len(raw)
     if not n:
         return Words(data, np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(offsets), np.int64))
-    w = IS_WORD[raw]
+    w = table[raw]
     begin, end = w.copy(), w.copy()
     begin[1:] &= ~w[:-1]
     end[:-1] &= ~w[1:]
