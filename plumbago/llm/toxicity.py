@@ -1,16 +1,16 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over character and word inputs, trained in numpy, scoring all overlapping windows.
 
-A text is cut into windows of WINDOW words that begin every STRIDE words and cover it whole; the last one is aligned with the end. A word enters as the vector of its vocabulary entry (all other words share one) beside the mean of vectors of
-its character pairs and the log odds of its first four to seven bytes, so that words never seen are judged by their stems. Two gated recurrent layers read the window forwards and backwards; attention weighs their joined states, and a logistic unit scores the pooled state. The score of a text is that of its
-highest window after a logistic calibration.
+A text is cut into windows of WINDOW words that begin every STRIDE words and cover it whole; the last one is aligned with the end. A word enters as the learned vector of its vocabulary entry (all other words share one) beside what learned filters over its
+characters find: each filter reads SPAN bytes in a row, ends marked, at all places of the word, and its best place counts. So words never seen are judged by how they are spelt. Two gated recurrent layers read the window forwards and backwards; attention weighs
+their joined states, and a logistic unit scores the pooled state. The score of a text is that of its highest window after a logistic calibration.
 
-Fitting. Labels say only that a document is toxic, not where. The vocabulary is the words of at least MIN_DOCS sampled documents; the first number of a word's vector starts at its log odds. The first windows to learn from are those
-of the highest log odds in each document, toxic or clean, with random clean windows; later rounds take the windows that the network itself ranks first. Gradients go through time in both directions (Adam). At most labelled.SAMPLE documents that
-aren't held out are used; labels, language, source and doc_id are never inputs.
+Fitting. All vectors and filters start at random and are learned through the network. Labels say only that a document is toxic, not where. The first windows to learn from are those in which a word, or the beginning of one, has the highest log odds of a toxic document, of each
+document, toxic or clean, with random clean windows; the log odds choose windows and are no inputs. Later rounds take the windows that the network itself ranks first. Gradients go through time in both directions and into the filters (Adam). At most
+labelled.SAMPLE documents that aren't held out are used; labels, language, source and doc_id are never inputs. The vocabulary is the words of at least MIN_DOCS of them.
 
 Cost. The input part of all gates is computed once for each distinct word of a block of text and gathered for its occurrences, so characters are read once a distinct word.
 
-Cases. Null, empty and wordless texts have one window of padding. Without labels of both classes the score is the smoothed share of toxic documents. Very long texts are whole. Repeated rows score alike. Other columns pass through unchanged.
+Cases. Null, empty and wordless texts have one window of padding. Without labels of both classes the score is the smoothed share of toxic documents. Very long texts and words are whole. Repeated rows score alike. An empty table gives an empty result. Other columns pass through unchanged.
 """
 
 from __future__ import annotations
@@ -28,11 +28,18 @@ from plumbago.llm.cluster import fresh, read
 from plumbago.llm.text import Words, arrow_schema, blocks, mix, words_of
 
 WINDOW, STRIDE = 32, 24
-HIDDEN, WORD_DIM, CHAR_DIM, CHAR_BUCKETS = 8, 8, 6, 1024
+HIDDEN, WORD_DIM = 8, 8
+#: Vectors of bytes, bytes that a filter reads, filters.
+CHAR_DIM, SPAN, FILTERS = 8, 6, 24
+_BEGIN, _END = 256, 257
 VOCABULARY, MIN_DOCS = 30_000, 3
 STEMS, STEM_BITS = (4, 5, 6, 7), 18
 ROUNDS, STEPS, BATCH, RATE = 3, 80, 128, 0.02
 CUT = 0.5
+#: Weight of a step in the average of parameters.
+AVERAGED = 0.03
+#: Distinct words whose characters are read at a time.
+PART = 8192
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -50,16 +57,19 @@ def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(at < counts[owner, None], at + first[owner, None], -1), owner
 
 
-def _pairs(words: Words, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the byte pairs of some words, ends marked, and the first pair of each word."""
+def _characters(words: Words, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The SPAN bytes at each place of some words (places x SPAN), begin marked, ends marked and padded, and the first place of each word."""
     starts, lengths = words.starts[some], words.ends[some] - words.starts[some]
-    first = np.concatenate(([0], np.cumsum(lengths + 1)))
-    at = np.arange(first[-1]) - np.repeat(first[:-1], lengths + 1)
-    size, begin = np.repeat(lengths, lengths + 1), np.repeat(starts, lengths + 1)
+    places = np.maximum(lengths + 2 - SPAN, 0) + 1
+    first = np.concatenate(([0], np.cumsum(places)))
+    at = np.arange(first[-1]) - np.repeat(first[:-1], places)
     raw = np.frombuffer(words.data, np.uint8)
-    left = np.where(at > 0, raw[np.maximum(begin + at - 1, 0)], 1).astype(np.int64)
-    right = np.where(at < size, raw[np.minimum(begin + at, len(raw) - 1)], 1).astype(np.int64)
-    return (left * 0x9E37 + right * 0x85EB >> 4) % CHAR_BUCKETS, first
+    size, begin = np.repeat(lengths, places), np.repeat(starts, places)
+    out = np.empty((first[-1], SPAN), np.int16)
+    for k in range(SPAN):
+        i = at + k - 1
+        out[:, k] = np.where(i < 0, np.int16(_BEGIN), np.where(i < size, raw[np.clip(begin + i, 0, max(len(raw) - 1, 0))] if len(raw) else np.int16(0), np.int16(_END)))
+    return out, first
 
 
 def _stems(words: Words, some: np.ndarray | None = None) -> np.ndarray:
@@ -82,16 +92,14 @@ def _scatter(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 class Network:
     """Parameters and both passes. Gates are ordered z, r, n; both directions are stacked on the first axis."""
 
-    def __init__(self, vocabulary: np.ndarray, odds: np.ndarray, stems: np.ndarray, seed: int = 4):
+    def __init__(self, vocabulary: np.ndarray, seed: int = 4):
         rng = np.random.default_rng(seed)
-        inputs = WORD_DIM + CHAR_DIM + len(STEMS)
-        self.stems = stems  # log odds by bucket and length, not trained further
+        inputs = WORD_DIM + FILTERS
         draw = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[-2] if len(shape) > 1 else 1), shape).astype(np.float32)
         self.vocabulary = vocabulary  # sorted hashes
-        word = draw(len(vocabulary) + 2, WORD_DIM) * 0.1  # the last two: any other word, padding
-        word[: len(vocabulary), 0] = odds
+        word = rng.normal(0, 0.1, (len(vocabulary) + 2, WORD_DIM)).astype(np.float32)  # the last two: any other word, padding
         word[-1] = 0
-        self.p = {"word": word, "char": draw(CHAR_BUCKETS, CHAR_DIM) * 0.1, "w": draw(2, inputs, 3 * HIDDEN), "b": np.zeros((2, 3 * HIDDEN), np.float32), "u": draw(2, HIDDEN, 3 * HIDDEN), "att": draw(2 * HIDDEN) * 0.1, "out": draw(2 * HIDDEN) * 0.3, "bias": np.zeros(1, np.float32)}
+        self.p = {"word": word, "char": rng.normal(0, 0.5, (258, CHAR_DIM)).astype(np.float32), "filter": draw(SPAN, CHAR_DIM, FILTERS), "level": np.zeros(FILTERS, np.float32), "w": draw(2, inputs, 3 * HIDDEN), "b": np.zeros((2, 3 * HIDDEN), np.float32), "u": draw(2, HIDDEN, 3 * HIDDEN), "att": draw(2 * HIDDEN) * 0.1, "out": draw(2 * HIDDEN) * 0.3, "bias": np.zeros(1, np.float32)}
         self.calibration = (1.0, 0.0)
         self.constant: float | None = None
 
@@ -160,19 +168,42 @@ class Network:
             dh = live * z + dhu @ ut + (0 if ok is None else np.where(ok, 0, dh))
         return g, dx
 
-    def inputs(self, words: Words, some: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Vectors of some words, with their character pairs."""
-        pairs, first = _pairs(words, some)
-        chars = np.add.reduceat(self.p["char"][pairs], first[:-1]) / np.diff(first)[:, None] if len(some) else np.zeros((0, CHAR_DIM), np.float32)
-        stems = self.stems[_stems(words, some), np.arange(len(STEMS))]
-        return np.concatenate([self.p["word"][rows], chars.astype(np.float32), stems], 1), pairs, first
+    def spelt(self, words: Words, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What the filters find in some words (words x FILTERS), with the bytes and values at all places and the first place of each word."""
+        table = np.einsum("cd,kdf->kcf", self.p["char"], self.p["filter"])
+        codes, first = _characters(words, some)
+        value = np.tile(self.p["level"], (len(codes), 1))
+        for k in range(SPAN):
+            value += table[k][codes[:, k]]
+        best = np.maximum.reduceat(value, first[:-1]) if len(some) else np.zeros((0, FILTERS), np.float32)
+        return np.tanh(best), codes, value, first
+
+    def inputs(self, words: Words, some: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Vectors of some words, a part at a time."""
+        out = np.empty((len(some), WORD_DIM + FILTERS), np.float32)
+        out[:, :WORD_DIM] = self.p["word"][rows]
+        for i in range(0, len(some), PART):
+            out[i : i + PART, WORD_DIM:] = self.spelt(words, some[i : i + PART])[0]
+        return out
+
+    def learn_spelling(self, d: np.ndarray, found: tuple) -> dict:
+        """Gradients of the filters, their levels and the bytes' vectors: each filter's best place in a word takes them."""
+        out, codes, value, first = found
+        d = d * (1 - out * out)
+        owner = np.repeat(np.arange(len(out)), np.diff(first))
+        at, f = np.nonzero(value == np.maximum.reduceat(value, first[:-1])[owner])
+        _, one = np.unique(owner[at] * FILTERS + f, return_index=True)  # the first of equal places
+        at, f = at[one], f[one]
+        part = d[owner[at], f]
+        table = np.stack([np.bincount(codes[at, k].astype(np.int64) * FILTERS + f, part, 258 * FILTERS).reshape(258, FILTERS) for k in range(SPAN)])
+        return {"level": d.sum(0), "char": np.einsum("kcf,kdf->cd", table, self.p["filter"]).astype(np.float32), "filter": np.einsum("kcf,cd->kdf", table, self.p["char"]).astype(np.float32)}
 
     def logits(self, data: bytes, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Logit of every window, its text, and the words' numbers of it."""
         words = words_of(data, off)
         at, owner = windows(words.first)
         hashes, place, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        x, _, _ = self.inputs(words, place, self.rows(hashes))
+        x = self.inputs(words, place, self.rows(hashes))
         x = np.concatenate([x, np.zeros((1, x.shape[1]), np.float32)])  # padding
         gates = np.stack([x @ self.p["w"][k] + self.p["b"][k] for k in (0, 1)])
         back = np.append(back, len(hashes))
@@ -209,7 +240,7 @@ def _log_odds(h: np.ndarray, owner: np.ndarray, y: np.ndarray) -> tuple[np.ndarr
 def fit(texts: pa.Array, labels: list[int], seed: int = 4) -> Network:
     y = np.array(labels, np.int64)
     if not 0 < y.sum() < len(y):
-        net = Network(np.zeros(0, np.uint64), np.zeros(0, np.float32), np.zeros((1, len(STEMS)), np.float32))
+        net = Network(np.zeros(0, np.uint64))
         net.constant = float((y.sum() + 1) / (len(y) + 2))
         return net
     column = texts.cast(pa.large_string())
@@ -225,7 +256,7 @@ def fit(texts: pa.Array, labels: list[int], seed: int = 4) -> Network:
         values, by_stem, _ = _log_odds(buckets[:, k], owner, y)
         stems[values, k] = by_stem
     stems[0] = 0
-    net = Network(vocabulary, odds, stems, seed)
+    net = Network(vocabulary, seed)
     rows = net.rows(hashes)
     at, owner = windows(words.first)
     first = np.searchsorted(owner, np.arange(len(y)))
@@ -234,8 +265,8 @@ def fit(texts: pa.Array, labels: list[int], seed: int = 4) -> Network:
     del hashes, buckets, value
     rng = np.random.default_rng(seed)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
-    step = 0
-    for _ in range(ROUNDS):
+    step, mean = 0, None
+    for turn in range(ROUNDS):
         best = np.lexsort((-rank, owner))[first]  # each text's first by rank
         some = np.concatenate([best, rng.choice(np.flatnonzero(y[owner] == 0), len(best))])
         truth = y[owner[some]].astype(np.float32)
@@ -244,6 +275,9 @@ def fit(texts: pa.Array, labels: list[int], seed: int = 4) -> Network:
             for k in range(0, len(some), BATCH):
                 step += 1
                 _learn(net, words, rows, at[some[order[k : k + BATCH]]], truth[order[k : k + BATCH]], moments, step)
+                if turn + 1 == ROUNDS:  # the last round's parameters are averaged
+                    mean = {p: v.copy() for p, v in net.p.items()} if mean is None else {p: mean[p] + AVERAGED * (v - mean[p]) for p, v in net.p.items()}
+        net.p = mean or net.p
         rank = np.concatenate([net.logits(d, o)[0] for _, _, d, o in blocks(texts)])  # in blocks, for the driver's memory
     top = np.maximum.reduceat(rank, first)
     net.calibration = _calibrate(top, y)
@@ -257,7 +291,8 @@ def _learn(net: Network, words: Words, known: np.ndarray, at: np.ndarray, truth:
     pad = int(flat[0] == -1)
     some = flat[pad:]
     rows = known[some]
-    x, pairs, first = net.inputs(words, some, rows)
+    found = net.spelt(words, some)
+    x = np.concatenate([net.p["word"][rows], found[0]], 1)
     x = np.concatenate([np.zeros((pad, x.shape[1]), np.float32), x])
     gates = np.stack([x @ net.p["w"][k] + net.p["b"][k] for k in (0, 1)])
     index = back.T
@@ -269,8 +304,7 @@ def _learn(net: Network, words: Words, known: np.ndarray, at: np.ndarray, truth:
     g["b"] = dg.sum(1)
     din = (dg[0] @ net.p["w"][0].T + dg[1] @ net.p["w"][1].T)[pad:]
     g["word"] = _scatter(rows, din[:, :WORD_DIM], len(net.p["word"]))
-    share = din[:, WORD_DIM : WORD_DIM + CHAR_DIM] / np.diff(first)[:, None]
-    g["char"] = _scatter(pairs, np.repeat(share, np.diff(first), axis=0), CHAR_BUCKETS)
+    g |= net.learn_spelling(din[:, WORD_DIM:], found)
     for k, v in net.p.items():
         m, s = moments[k]
         m += 0.1 * (g[k] - m)
