@@ -1,12 +1,12 @@
 """Media columns: ISO base media containers (MP4, MOV and kin), walked box by box without decoding payloads.
 
-probe() reads a binary column: nested boxes, the sample tables of every track, and from them codec, timescale, duration, number of samples and the byte ranges
+probe() reads a binary column: nested boxes, the sample tables of every track and the runs of movie fragments, and from them codec, timescale, duration, edits, number of samples and the byte ranges
 of key frames (sync samples; all samples if a track has no sync table). wrap() stores a byte payload losslessly as a PCM track of unsigned 8-bit samples in
 such a container, and unwrap() reads the samples back by their chunk offsets.
 
-Cases. A null or foreign blob has no tracks; a box that runs over its parent ends the walk there; sample tables that point outside the file are cut to it. A null text is empty: its
-payload is 64 zero bytes. Equal payloads give equal containers (no clocks, no random numbers). Sizes and offsets of 64 bits are read and written. Repeated rows are handled each; other
-columns pass through.
+Cases. A null or foreign blob has no tracks; a box that runs over its parent ends the walk of that parent; sample tables that point outside the file are cut to it, and no count in a file makes more memory or work than the file's own bytes
+bear. Boxes may be nested at any depth. A null text is empty: its payload is 64 zero bytes. Equal payloads give equal containers (no clocks, no random numbers). Sizes and offsets of 64 bits are read and written. Very long texts are whole. Repeated rows are
+handled each; an empty table gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations
@@ -70,94 +70,202 @@ def wrap(payload: bytes, rate: int = RATE, chunk: int = CHUNK) -> bytes:
     return ftyp + moov(size) + _box(b"mdat", payload)
 
 
-def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path, first byte of the body, byte after it) of all boxes, parents first."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
+def walk(data: bytes) -> Iterator[tuple[frozenset[bytes], bytes, int, int, int]]:
+    """(kinds of the boxes around it, kind, first byte, first byte of the body, byte after it) of all boxes, parents first."""
+    todo: list[tuple[frozenset[bytes], int, int]] = [(frozenset(), 0, len(data))]
+    while todo:
+        around, start, end = todo.pop()
+        if start + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         body = start + 8
         if size == 1:
             if body + 8 > end:
-                return
+                continue
             (size,) = struct.unpack_from(">Q", data, body)
             body += 8
         elif size == 0:
             size = end - start
         if size < body - start or start + size > end:
-            return
-        yield (*path, kind), body, start + size
+            continue
+        todo.append((around, start + size, end))
         if kind in _NESTED:
-            yield from walk(data, body, start + size, (*path, kind))
-        start += size
+            todo.append((around | {kind}, body, start + size))
+        yield around, kind, start, body, start + size
 
 
-def _table(data: bytes, at: int, end: int, skip: int, width: int, columns: int = 1) -> np.ndarray:
-    """A counted table of big-endian numbers, cut to the box."""
-    if at + skip + 4 > end:
+def _table(data: bytes, at: int, end: int, width: int, columns: int = 1) -> np.ndarray:
+    """A table of big-endian numbers behind its count, cut to the box."""
+    if at + 4 > end:
         return np.zeros((0, columns), np.int64)
-    (n,) = struct.unpack_from(">I", data, at + skip)
-    n = min(n, (end - at - skip - 4) // (width * columns))
-    return np.frombuffer(data, f">u{width}", n * columns, at + skip + 4).astype(np.int64).reshape(-1, columns)
+    (n,) = struct.unpack_from(">I", data, at)
+    n = min(n, (end - at - 4) // (width * columns))
+    return np.frombuffer(data, f">u{width}", n * columns, at + 4).astype(np.int64).reshape(-1, columns)
+
+
+def _small_sizes(data: bytes, at: int, end: int) -> np.ndarray:
+    """The sizes of a compact table: fields of 4, 8 or 16 bits."""
+    field, n = struct.unpack_from(">BI", data, at + 7)
+    if field == 16:
+        return np.frombuffer(data, ">u2", min(n, (end - at - 12) // 2), at + 12).astype(np.int64)
+    raw = np.frombuffer(data, np.uint8, max(0, min(n if field == 8 else -(-n // 2), end - at - 12)), at + 12).astype(np.int64)
+    return raw if field == 8 else np.stack([raw >> 4, raw & 15], 1).reshape(-1)[:n] if field == 4 else raw[:0]
 
 
 def tracks(data: bytes | None) -> list[dict]:
-    """What the sample tables of each track say: codec, timescale, duration, samples, and ranges (start, end) of all samples and of key frames, adjoining ones joined."""
+    """What sample tables and fragments say of each track: codec, timescale, duration, edits (duration, media time), samples, and ranges (start, end) of all samples and of key frames, adjoining ones joined."""
     found: list[dict] = []
-    for path, at, end in walk(data) if data else ():
-        kind = path[-1]
+    defaults: dict[int, tuple[int, int, int]] = {}
+    moof, run = 0, {}
+    for around, kind, start, at, end in walk(data) if data else ():
         if kind == b"trak":
-            found.append({})
-            continue
-        if b"trak" not in path or not found:
-            continue
-        t = found[-1]
+            found.append({"runs": []})
+        elif kind == b"moof":
+            moof, run = start, {"next": start}
+        elif kind == b"traf":
+            run = {"base": moof, "next": run.get("next", moof), "first": run.get("next", moof) == moof}
         try:
-            if kind == b"mdhd":
-                t["timescale"], t["duration"] = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
-            elif kind == b"stsd" and end >= at + 16:
-                t["codec"] = data[at + 12 : at + 16].decode("latin-1")
-            elif kind == b"stsz":
-                size, n = struct.unpack_from(">II", data, at + 4)
-                t["size"], t["samples"] = size, n
-                if not size:
-                    t["sizes"] = _table(data, at, end, 8, 4)[:, 0]
-            elif kind == b"stsc":
-                t["stsc"] = _table(data, at, end, 4, 4, 3)
-            elif kind in (b"stco", b"co64"):
-                t["chunks"] = _table(data, at, end, 4, 4 if kind == b"stco" else 8)[:, 0]
-            elif kind == b"stss":
-                t["sync"] = _table(data, at, end, 4, 4)[:, 0]
+            if kind == b"trex":
+                number, _, *rest = struct.unpack_from(">5I", data, at + 4)
+                defaults[number] = tuple(rest)
+            elif kind == b"tfhd" and b"traf" in around:
+                _fragment(data, at, run, defaults)
+            elif kind == b"trun" and b"traf" in around and "track" in run:
+                mine = next((t for t in found if t.get("id") == run["track"]), None)
+                if mine is None:
+                    found.append(mine := {"id": run["track"], "runs": []})
+                mine["runs"].append(_run(data, at, end, run))
+            elif b"trak" in around and found:
+                _described(data, kind, at, end, found[-1])
         except struct.error:
             continue
     return [_read(t, len(data)) for t in found]
 
 
+def _described(data: bytes, kind: bytes, at: int, end: int, t: dict) -> None:
+    """One box of a track."""
+    if kind == b"tkhd":
+        (t["id"],) = struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))
+    elif kind == b"mdhd":
+        t["timescale"], t["duration"] = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
+    elif kind == b"elst":
+        wide = data[at] == 1
+        (n,) = struct.unpack_from(">I", data, at + 4)
+        n = min(n, (end - at - 8) // (20 if wide else 12))
+        t["edits"] = [struct.unpack_from(">Qq" if wide else ">Ii", data, at + 8 + k * (20 if wide else 12)) for k in range(n)]
+    elif kind == b"stsd" and end >= at + 16:
+        t["codec"] = data[at + 12 : at + 16].decode("latin-1")
+    elif kind == b"stsz":
+        size, n = struct.unpack_from(">II", data, at + 4)
+        if size:
+            t["size"], t["samples"] = size, min(n, len(data) // size)  # samples lie in the file
+        else:
+            t["sizes"] = _table(data, at + 8, end, 4)[:, 0]
+            t["samples"] = len(t["sizes"])
+    elif kind == b"stz2":
+        t["sizes"] = _small_sizes(data, at, end)
+        t["samples"] = len(t["sizes"])
+    elif kind == b"stsc":
+        t["stsc"] = _table(data, at + 4, end, 4, 3)
+    elif kind in (b"stco", b"co64"):
+        t["chunks"] = _table(data, at + 4, end, 4 if kind == b"stco" else 8)[:, 0]
+    elif kind == b"stss":
+        t["sync"] = _table(data, at + 4, end, 4)[:, 0]
+
+
+def _fragment(data: bytes, at: int, run: dict, defaults: dict[int, tuple[int, int, int]]) -> None:
+    """The header of a track's fragment: where its data begin and what its samples are unless said otherwise."""
+    flags, run["track"] = struct.unpack_from(">II", data, at)
+    at += 8
+    given = {}
+    for bit, width in ((1, 8), (2, 4), (8, 4), (16, 4), (32, 4)):
+        if flags & bit:
+            (given[bit],) = struct.unpack_from(">Q" if width == 8 else ">I", data, at)
+            at += width
+    long, size, kind = defaults.get(run["track"], (0, 0, 0))
+    if 1 in given:
+        run["base"] = given[1]
+    elif not (flags & 0x20000 or run["first"]):
+        run["base"] = run["next"]
+    run["next"] = run["base"]
+    run["each"] = given.get(8, long), given.get(16, size), given.get(32, kind)
+
+
+def _run(data: bytes, at: int, end: int, run: dict) -> tuple[int, int, list | np.ndarray, np.ndarray | None]:
+    """Number of samples, duration, their sizes or the size of all in a list, and which are key frames (None: all of them), of a run; its first byte stands before the sizes."""
+    flags, n = struct.unpack_from(">II", data, at)
+    at += 8
+    start = run["next"]
+    if flags & 1:
+        start = run["base"] + struct.unpack_from(">i", data, at)[0]
+        at += 4
+    long, size, kind = run.get("each", (0, 0, 0))
+    first = kind
+    if flags & 4:
+        (first,) = struct.unpack_from(">I", data, at)
+        at += 4
+    fields = [b for b in (0x100, 0x200, 0x400, 0x800) if flags & b]
+    if fields:
+        n = min(n, (end - at) // (4 * len(fields)))
+        table = np.frombuffer(data, ">u4", n * len(fields), at).astype(np.int64).reshape(-1, len(fields))
+        column = {b: table[:, k] for k, b in enumerate(fields)}
+    else:
+        n, column = min(n, len(data) // size if size else n), {}
+    duration = int(column[0x100].sum()) if 0x100 in column else n * long
+    kinds = column.get(0x400)
+    if kinds is None:
+        kinds = np.full(min(n, 2), kind)  # the first, and all that follow
+    kinds = kinds.copy()
+    if flags & 4 and len(kinds):
+        kinds[0] = first
+    sizes = column.get(0x200)
+    total = int(sizes.sum()) if sizes is not None else n * size
+    run["next"] = start + total
+    return n, duration, (start, sizes if sizes is not None else size), (kinds & 0x10000) == 0
+
+
+def _ranges_of(run: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Starts and ends of a run's samples and of its key frames, neighbours of one size taken together, and the number of key frames."""
+    n, _, (start, sizes), key = run
+    if isinstance(sizes, int) and len(key) <= 2:
+        split = min(n, 1)
+        starts, ends = np.array([start, start + split * sizes]), np.array([start + split * sizes, start + n * sizes])
+        keys = np.array([n > 0 and key[0], n > 1 and key[1]], bool)
+        return starts, ends, starts[keys], ends[keys], int(n > 0 and key[0]) + (n - 1 if n > 1 and key[1] else 0)
+    ends = start + np.cumsum(sizes if not isinstance(sizes, int) else np.full(n, sizes))
+    starts = ends - sizes
+    if len(key) < n:
+        key = np.append(key[:1], np.full(n - 1, key[1]))
+    return starts, ends, starts[key], ends[key], int(key.sum())
+
+
 def _read(t: dict, size: int) -> dict:
     chunks, stsc = t.get("chunks", np.zeros(0, np.int64)), t.get("stsc", np.zeros((0, 3), np.int64))
-    each = np.zeros(len(chunks), np.int64)
-    for k, (first, count, _) in enumerate(stsc.tolist()):
-        each[first - 1 : stsc[k + 1, 0] - 1 if k + 1 < len(stsc) else None] = count
+    samples = int(t.get("samples", 0))
+    entry = np.searchsorted(np.maximum.accumulate(stsc[:, 0]), np.arange(1, len(chunks) + 1), "right") - 1
+    each = np.where(entry >= 0, np.minimum(stsc[np.maximum(entry, 0), 1], samples), 0) if len(stsc) else np.zeros(len(chunks), np.int64)
     done = np.concatenate(([0], np.cumsum(each)))
-    n = int(min(t.get("samples", 0), done[-1], len(t["sizes"]) if "sizes" in t else done[-1]))
+    n = int(min(samples, done[-1]))
     sync = None if "sync" not in t else np.unique(t["sync"][(t["sync"] >= 1) & (t["sync"] <= n)]) - 1
     if "sizes" not in t and sync is None:  # whole chunks at once
         upto = np.minimum(done[1:], n)
         starts, ends = chunks, chunks + (upto - np.minimum(done[:-1], n)) * t.get("size", 0)
-        ranges = keys = _joined(starts, ends, size)
-        number = n
+        key_starts, key_ends, number = starts, ends, n
     else:
         sizes = t["sizes"][:n] if "sizes" in t else np.full(n, t.get("size", 0))
         upto = np.concatenate(([0], np.cumsum(sizes)))
         of = np.searchsorted(done, np.arange(n), "right") - 1
         starts = chunks[of] + upto[:n] - upto[np.minimum(done[of], n)]
-        ranges = _joined(starts, starts + sizes, size)
-        keys = ranges if sync is None else _joined(starts[sync], (starts + sizes)[sync], size)
-        number = n if sync is None else len(sync)
-    return {"codec": t.get("codec"), "timescale": t.get("timescale", 0), "duration": t.get("duration", 0), "samples": n, "keyframes": number, "ranges": ranges, "key_ranges": keys}
+        ends = starts + sizes
+        key_starts, key_ends, number = (starts, ends, n) if sync is None else (starts[sync], ends[sync], len(sync))
+    parts = [(starts, ends, key_starts, key_ends, number), *map(_ranges_of, t["runs"])]
+    a, b, c, d = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    duration = t.get("duration", 0) or sum(r[1] for r in t["runs"])
+    return {"codec": t.get("codec"), "timescale": t.get("timescale", 0), "duration": min(duration, (1 << 63) - 1), "edits": t.get("edits", []), "samples": n + sum(r[0] for r in t["runs"]), "keyframes": sum(p[4] for p in parts), "ranges": _joined(a, b, size), "key_ranges": _joined(c, d, size)}
 
 
 def _joined(starts: np.ndarray, ends: np.ndarray, size: int) -> list[tuple[int, int]]:
-    ok = (starts < ends) & (ends <= size)
+    ok = (starts >= 0) & (starts < ends) & (ends <= size)
     starts, ends = starts[ok], ends[ok]
     if not len(starts):
         return []
@@ -167,48 +275,55 @@ def _joined(starts: np.ndarray, ends: np.ndarray, size: int) -> list[tuple[int,
 
 def unwrap(data: bytes) -> bytes:
     """The samples of the first track, read back from where its tables say."""
-    return b"".join(data[a:b] for a, b in tracks(data)[0]["ranges"])
+    return b"".join(data[a:b] for t in tracks(data)[:1] for a, b in t["ranges"])
 
 
 _RANGE = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-_TRACK = T.StructType([T.StructField("codec", T.StringType()), T.StructField("timescale", T.LongType()), T.StructField("duration", T.LongType()), T.StructField("samples", T.LongType()), T.StructField("keyframes", T.LongType()), T.StructField("key_ranges", _RANGE)])
+_TRACK = T.StructType([T.StructField("codec", T.StringType()), T.StructField("timescale", T.LongType()), T.StructField("duration", T.LongType()), T.StructField("edits", T.ArrayType(T.StructType([T.StructField("duration", T.LongType()), T.StructField("media_time", T.LongType())]))), T.StructField("samples", T.LongType()), T.StructField("keyframes", T.LongType()), T.StructField("key_ranges", _RANGE)])
 
 
 def probe(df: DataFrame, column: str = "content") -> DataFrame:
-    """df with ``tracks``: codec, timescale, duration, samples, number of key frames and their byte ranges, for each track of the container in a binary column."""
+    """df with ``tracks``: codec, timescale, duration, edits, samples, number of key frames and their byte ranges, for each track of the container in a binary column."""
     name = fresh(df, "tracks")
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(_TRACK))])
     types = arrow_schema(schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [[{k: [{"start": p, "end": q} for p, q in v] if k == "key_ranges" else v for k, v in t.items() if k != "ranges"} for t in tracks(x.as_py())] for x in b.column(b.schema.get_field_index(column))]
+            rows = [[_row(t) for t in tracks(x.as_py())] for x in b.column(b.schema.get_field_index(column))]
             yield pa.RecordBatch.from_arrays([*(b.column(c).cast(types.field(c).type) for c in range(b.num_columns)), pa.array(rows, types.field(name).type)], schema=types)
 
     return df.mapInArrow(work, schema)
 
 
-def feature(data: bytes, payload: bytes) -> str:
-    """Codec, rate, duration, key frames, and from the samples their mean level, zero crossings of the midline and distinct values."""
-    t = tracks(data)[0]
+def _row(t: dict) -> dict:
+    long = lambda x: max(-(1 << 63), min(x, (1 << 63) - 1))
+    return {k: v for k, v in t.items() if k != "ranges"} | {"key_ranges": [{"start": p, "end": q} for p, q in t["key_ranges"]], "edits": [{"duration": long(a), "media_time": long(b)} for a, b in t["edits"]]}
+
+
+def feature(t: dict, payload: bytes) -> str:
+    """Of a track: codec, rate, duration, key frames, and from its samples their mean level, crossings of the midline and distinct values."""
     x = np.frombuffer(payload, np.uint8)
     up = x >= 128
     return f"{t['codec'].strip()};rate={t['timescale']};duration={t['duration']};keyframes={t['keyframes']};ranges={'|'.join(f'{a}-{b}' for a, b in t['key_ranges'])};mean={int(x.sum(dtype=np.int64)) * 1000 // len(x)};crossings={int((up[1:] != up[:-1]).sum())};values={int((np.bincount(x, minlength=256) > 0).sum())}"
 
 
+_COLUMNS = {"n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string", "codec": "string", "timescale": "long", "duration": "long", "keyframes": "long", "key_ranges": "array<struct<start:long,end:long>>"}
+
+
 def _stored(batch: pa.RecordBatch) -> Iterator[dict]:
-    out: dict = {k: [] for k in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
+    out: dict = {k: [] for k in _COLUMNS}
     for x in batch.column(1):
         raw = (x.as_py() or "").encode("utf-8", "surrogatepass")
         media = wrap(raw + bytes(max(UNIT, -(-len(raw) // UNIT) * UNIT) - len(raw)))
-        back = unwrap(media)
-        for k, v in zip(out, (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature(media, back)), strict=True):
+        t = tracks(media)[0]
+        back = b"".join(media[a:b] for a, b in t["ranges"])
+        track = _row(t)
+        for k, v in zip(out, (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature(t, back), *(track[c] for c in list(_COLUMNS)[7:])), strict=True):
             out[k].append(v)
     yield {"doc_id": batch.column(0), **out}
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numbers = ("n_bytes", "payload_bytes", "tail_crc32", "media_bytes")
-    names = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-    schema = T.StructType([T.StructField(c, T.LongType() if c in (*numbers, "doc_id") else T.StringType()) for c in names])
+    schema = T._parse_datatype_string("doc_id long, " + ", ".join(f"`{c}` {t}" for c, t in _COLUMNS.items()))
     return map_arrow(read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _stored, schema)

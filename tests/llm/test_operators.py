@@ -383,6 +383,83 @@ def test_containers_with_sync_tables_and_damage():
         media.tracks(data[:cut])
 
 
+def test_hostile_containers():
+    box, full = media._box, media._full
+    deep = b""
+    for _ in range(3000):
+        deep = box(b"moov", deep)
+    assert media.tracks(deep) == [] and sum(1 for _ in media.walk(struct.pack(">I4s", 0, b"moov") * 100_000)) == 100_000
+    many = (1 << 32) - 1
+    stbl = box(b"stbl", full(b"stsz", "II", 1, many), full(b"stsc", "I", 1, rest=struct.pack(">III", 1, many, 1)), full(b"stco", "I", 1, rest=struct.pack(">I", 0)), full(b"stss", "I", 2, rest=struct.pack(">2I", 1, many)))
+    t = media.tracks(box(b"moov", box(b"trak", stbl)))[0]
+    assert t["samples"] < 200 and t["key_ranges"] == [(0, 1)]
+    unsorted = box(b"moov", box(b"trak", box(b"stbl", full(b"stsz", "II", 1, 9), full(b"stsc", "I", 50_000, rest=struct.pack(">III", 9, 1, 1) * 50_000), full(b"stco", "I", 50_000, rest=bytes(200_000)))))
+    assert media.tracks(unsorted)[0]["samples"] == 9
+    run = box(b"moof", box(b"traf", full(b"tfhd", "I", 7), full(b"trun", "I", many)))
+    assert media.tracks(run)[0]["key_ranges"] == []
+    r = random.Random(6)
+    whole = bytearray(media.wrap(r.randbytes(9000)) + fragmented()[0])
+    for _ in range(2000):
+        bad = bytearray(whole)
+        for _ in range(r.randrange(1, 12)):
+            bad[r.choice([r.randrange(len(bad)), r.randrange(700)])] = r.choice([0, 1, 255, r.randrange(256)])
+        for t in media.tracks(bytes(bad)):
+            assert all(0 <= a < b <= len(bad) for a, b in t["ranges"] + t["key_ranges"])
+        media.unwrap(bytes(bad))
+
+
+def fragmented():
+    """A fragmented file of one track: two runs in one fragment, one in the next; its samples' places."""
+    box, full = media._box, media._full
+    flagged = lambda kind, flags, body: box(kind, struct.pack(">I", flags), body)
+    trak = box(b"trak", full(b"tkhd", "IIIII", 0, 0, 5, 0, 0, rest=bytes(60)), box(b"edts", full(b"elst", "IIiI", 1, 90, -1, 1 << 16)), box(b"mdia", full(b"mdhd", "IIIIHH", 0, 0, 90000, 0, 0, 0), box(b"minf", box(b"stbl", full(b"stsd", "I", 1, rest=box(b"hvc1", bytes(70))), full(b"stsz", "II", 0, 0), full(b"stsc", "I", 0), full(b"stco", "I", 0)))))
+    head = box(b"moov", trak, box(b"mvex", full(b"trex", "IIIII", 5, 1, 3000, 10, 0x10000)))
+
+    def moof(at):
+        one = flagged(b"trun", 0x205, struct.pack(">IiI3I", 3, at, 0, 4, 5, 6))  # sizes, the first a key frame
+        two = flagged(b"trun", 0, struct.pack(">I", 2))  # follows, all by default
+        return box(b"moof", full(b"mfhd", "I", 1), box(b"traf", flagged(b"tfhd", 0x20000, struct.pack(">I", 5)), one, two))
+
+    last = box(b"moof", box(b"traf", flagged(b"tfhd", 0x20000 | 0x10 | 0x20, struct.pack(">III", 5, 7, 0)), flagged(b"trun", 0x401, struct.pack(">Ii2I", 2, 8, 0x10000, 0))))
+    a = len(head)
+    size = len(moof(0))
+    data = head + moof(size + 8) + box(b"mdat", bytes(35))
+    b = len(data)
+    return data + last + box(b"mdat", bytes(14)), a + size + 8, b
+
+
+def test_fragments():
+    data, a, b = fragmented()
+    t = media.tracks(data)[0]
+    assert (t["codec"], t["timescale"], t["duration"], t["samples"], t["keyframes"], t["edits"]) == ("hvc1", 90000, 7 * 3000, 7, 2, [(90, -1)])
+    assert t["key_ranges"] == [(a, a + 4), (b + 8 + 7, b + 8 + 14)] and t["ranges"] == [(a, a + 35), (b + 8, b + 8 + 14)]
+
+
+@pytest.mark.parametrize("field, table", [(4, bytes([0x35, 0x79])), (8, bytes([3, 5, 7, 9])), (16, struct.pack(">4H", 3, 5, 7, 9))])
+def test_compact_sizes(field, table):
+    box, full = media._box, media._full
+    stbl = box(b"stbl", full(b"stsc", "I", 1, rest=struct.pack(">III", 1, 2, 1)), full(b"stz2", "II", field, 4, rest=table), full(b"stco", "I", 2, rest=struct.pack(">2I", 10, 30)), full(b"stss", "I", 2, rest=struct.pack(">2I", 1, 4)))
+    t = media.tracks(box(b"moov", box(b"trak", stbl)))[0]
+    assert (t["samples"], t["key_ranges"]) == (4, [(10, 13), (37, 46)])
+
+
+def test_op6_query_against_brute_force(spark, tmp_path):
+    rows = [(k, t, "en", "s", 1) for k, t in enumerate(["a", "é" * 40, "x" * 64, "y" * 65, "漢字" * 9000, "a"])] + AWKWARD
+    out = media.op6_media_columns(spark, query_tables(spark, tmp_path, rows, [])).collect()
+    assert len(out) == len(rows)
+    seen: dict = {}
+    for r, (i, t, *_) in zip(sorted(out, key=lambda r: (str(r.doc_id), r.n_bytes)), sorted(rows, key=lambda x: (str(x[0]), len((x[1] or "").encode()))), strict=True):
+        raw = (t or "").encode()
+        payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        assert (r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        stored = media.wrap(payload)
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest()) and stored.count(payload)
+        assert (r.codec, r.timescale, r.duration, r.keyframes) == ("raw ", 8000, len(payload), len(payload)) and [tuple(x) for x in r.key_ranges] == [(len(stored) - len(payload), len(stored))]
+        level = f"mean={sum(payload) * 1000 // len(payload)};crossings={sum((a >= 128) != (b >= 128) for a, b in zip(payload, payload[1:]))};values={len(set(payload))}"
+        assert r.feature.endswith(level) and seen.setdefault(payload, tuple(r)[1:]) == tuple(r)[1:]
+    assert media.op6_media_columns(spark, query_tables(spark, tmp_path / "none", [], [])).count() == 0
+
+
 def test_probe(spark):
     df = spark.createDataFrame([(1, bytearray(media.wrap(bytes(64))), 5), (2, None, 6)], "id int, content binary, tracks int")
     out = {r.id: r[-1] for r in media.probe(df).collect()}
