@@ -11,16 +11,16 @@ of the document are expected to be filled, so a long document costs about one ha
 
 Signatures of 125 registers are cut into 25 bands of 5 (a pair at exactly 0.8 shares no band with probability 5e-5). Within a bucket:
 
-1. every member is compared with one hub, the member that shares most buckets with others (a star, not all pairs);
-2. buckets that still hold members not known to be in one class are compared in square blocks of at most about 1,024 members a side,
-   first by signature and then, only for those with a promising partner, by exact multiset overlap, and only a spanning forest of
-   what was found is emitted. Nothing is capped; a bucket of any size is dealt out over as many blocks as it needs.
+1. every member is compared with one hub, the member that shares most buckets with others (a star, not all pairs). The hub's signature and text are dealt out once for each HUB_ROWS of its members, so no task meets all members of a large group;
+2. the classes so far are the components of these links. In buckets that hold more than one, those outside the bucket's largest class are compared with each other and with the largest class, in square blocks of at most about 1,024
+   members a side, first by signature and then, only for those with a promising partner, by exact multiset overlap, and only a spanning forest of
+   what was found is emitted. Members of the largest class aren't compared with each other, so a bucket costs the product of its size and of what the star left. Nothing is capped; a bucket of any size is dealt out over as many blocks as it needs.
 
 Signatures that agree in fewer than 80 of 125 registers aren't verified (probability below 1e-5 for a pair at 0.8).
 
 Cases. A null text has no copies: its class is its own row. Texts that are equal, empty ones included, are one class. A text of one to
 four words is one shingle of all its words; a text without words equals only identical texts. Very long texts are hashed in pieces of
-bounded memory. Repeated rows are copies like others. Rows whose doc_id is null take the smallest non-null doc_id of their class. Other
+bounded memory. An empty table gives an empty result. Repeated rows are copies like others. Rows whose doc_id is null take the smallest non-null doc_id of their class. Other
 columns of the input are neither read nor needed.
 """
 
@@ -46,6 +46,8 @@ REGISTERS = BANDS * BAND_ROWS
 #: Fewest equal registers of a pair that is verified.
 PROMISING = 80
 BLOCK_MEMBERS = 1024
+#: Shared buckets of a hub, of which it has at least as many as members, a copy of its signature and text.
+HUB_ROWS = 20_000
 _OWNER_BITS = 12
 _GOLD = 0x9E3779B97F4A7C15
 
@@ -173,7 +175,7 @@ def _near(batch: pa.RecordBatch) -> Iterator[dict]:
     n, m = (c[k].to_numpy(zero_copy_only=False) for k in ("n_a", "n_b"))
     ok = ((x == y).sum(1) >= PROMISING) & (np.minimum(n, m) >= THRESHOLD * np.maximum(n, m))
     if ok.any():
-        yield {k: c[k].filter(pa.array(ok)) for k in ("a", "b")}
+        yield {k: c[k].filter(pa.array(ok)) for k in ("a", "b", "part")}
 
 
 def _verified(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -240,7 +242,7 @@ def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of the near-duplicate links of each cell."""
+    """A spanning forest of the near-duplicate links between the classes of each cell."""
     for cell in _cells(batches):
         bags, up, links = _Bags(), {}, []
 
@@ -255,7 +257,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if (p := top(cell["root"][i])) != (q := top(cell["root"][j])):
                     if similarity(bags(cell["node"][i], cell["text"][i]), bags(cell["node"][j], cell["text"][j])) >= THRESHOLD:
                         up[p] = q
-                        links.append((cell["node"][i], cell["node"][j]))
+                        links.append((cell["root"][i], cell["root"][j]))
         if links:
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], ["a", "b"])
 
@@ -290,51 +292,58 @@ def _classes(base: DataFrame) -> DataFrame:
     sketch = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("sig", T.BinaryType()), T.StructField("n", T.LongType())])
     nodes = map_arrow(base, _sketch, sketch).filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     nodes = checkpoint(nodes)
-    roots = components(_links(base, nodes))
-    named = nodes.select("node", "id", "rows").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = nodes.select("node", "id", "rows").join(_roots(base, nodes), "node")
     classes = named.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("rows").alias("class_size"))
     return checkpoint(named.join(classes, "root").filter("class_size > 1").select("node", "class_id", "class_size"))
 
 
-def _links(base: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Verified links between different texts, enough of them to connect every class."""
+def _roots(base: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, root: the class of every text, as one of its nodes."""
     width = 2 * BAND_ROWS
     bands = nodes.filter("sig is not null").select("node", F.posexplode(F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(sig, i * {width} + 1, {width})))")).alias("band", "bucket"))
     sizes = bands.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
     members = checkpoint(bands.join(sizes, "bucket"))
-    degree = members.groupBy("node").agg(F.sum(F.col("members") - 1).alias("degree"))
-    hubs = members.select("bucket", "node").join(degree, "node").groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("hub"))
-    stars = members.select("bucket", "node").join(hubs, "bucket").select(F.col("hub.node").alias("a"), F.col("node").alias("b")).filter("a != b").distinct()
     sigs = nodes.select("node", "n", "sig")
-    side = lambda k: sigs.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("sig").alias(f"sig_{k}"))
-    near = checkpoint(map_arrow(stars.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "sig_a", "sig_b"), _near, T._parse_datatype_string(_LINK)))
-    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = _texts(base, nodes, wanted)
-    said = lambda k: texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}"))
-    first = checkpoint(map_arrow(near.join(said("b"), "b").join(said("a"), "a").select("a", "b", "text_a", "text_b"), _verified, T._parse_datatype_string(_LINK)))
-    # every node takes the label of the strongest hub it is linked to; equal labels are surely one class
-    up = first.join(degree.select(F.col("node").alias("a"), "degree"), "a").groupBy(F.col("b").alias("node")).agg(F.max(F.struct("degree", F.col("a").alias("hub"))).alias("best")).join(degree, "node").filter("best.degree > degree or best.degree = degree and best.hub > node").select("node", F.col("best.hub").alias("hub"))
-    up = checkpoint(up)
-    up = up.join(up.select(F.col("node").alias("hub"), F.col("hub").alias("over")), "hub", "left").select("node", F.coalesce("over", "hub").alias("root"))
-    rooted = members.join(up, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("bucket")
-    side_of = F.pmod(F.hash("node"), F.col("parts")).cast("int")
-    cells = (
-        rooted.join(mixed, "bucket")
-        .withColumn("parts", F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int"))
-        .withColumn("side", side_of)
-        .select("bucket", "band", "node", "root", "side", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-        .select("bucket", "band", "node", "root", "side", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"))
-        .join(sigs, "node")
-        .select(*_CELL.names)
-    )
+    first = checkpoint(_starred(base, nodes, members, sigs))
+    below = checkpoint(nodes.select("node").join(components(first), "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+    cells = _dealt(members.join(below, "node"), sigs)
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["bucket", "x", "y"]
-    dealt = lambda df: df.repartition(parts, *order).sortWithinPartitions(*order)
-    some = checkpoint(dealt(cells).mapInArrow(_promising, _CELL))
+    together = lambda df: df.repartition(parts, *order).sortWithinPartitions(*order)
+    some = checkpoint(together(cells).mapInArrow(_promising, _CELL))
     rest = _texts(base, nodes, some.select("node").distinct())
-    second = dealt(some.join(rest, "node").select(*_CELL.names, "text")).mapInArrow(_forest, _LINK)
-    return first.union(checkpoint(second)).distinct()
+    second = checkpoint(together(some.join(rest, "node").select(*_CELL.names, "text")).mapInArrow(_forest, _LINK).distinct())
+    above = components(second).withColumnRenamed("root", "top")  # of classes, not of texts
+    return below.join(small(above.withColumnRenamed("node", "root")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+
+
+def _starred(base: DataFrame, nodes: DataFrame, members: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Verified links between the hub of each bucket and its members."""
+    degree = members.groupBy("node").agg(F.sum(F.col("members") - 1).alias("degree"))
+    hubs = members.select("bucket", "node").join(degree, "node").groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("hub"))
+    copies = (F.expr(f"hub.degree div {HUB_ROWS}") + 1).cast("int")
+    hubs = checkpoint(hubs.select("bucket", F.col("hub.node").alias("a"), copies.alias("copies")))
+    stars = members.select("bucket", F.col("node").alias("b")).join(hubs, "bucket").filter("a != b").select("a", "b", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("part")).distinct()
+    side = lambda k: sigs.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("sig").alias(f"sig_{k}"))
+    centres = hubs.select("a", "copies").distinct().join(side("a"), "a").select("*", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("part")).drop("copies")
+    near = stars.join(side("b"), "b").join(centres, ["a", "part"]).select("a", "b", "part", "n_a", "n_b", "sig_a", "sig_b")
+    near = checkpoint(map_arrow(near, _near, T._parse_datatype_string(f"{_LINK}, part int")))
+    texts = _texts(base, nodes, near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    said = lambda k: texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}"))
+    centres = near.select("a", "part").distinct().join(said("a"), "a")
+    return map_arrow(near.join(said("b"), "b").join(centres, ["a", "part"]).select("a", "b", "text_a", "text_b"), _verified, T._parse_datatype_string(_LINK))
+
+
+def _dealt(rooted: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Cells of the buckets with several classes: x is a part of the members outside the largest class, y another of these or, numbered after them, a part of the largest class."""
+    largest = rooted.groupBy("bucket", "members", "root").agg(F.count("*").alias("n")).groupBy("bucket", "members").agg(F.max(F.struct("n", "root")).alias("m"))
+    parts = lambda n: F.ceil(n / BLOCK_MEMBERS).cast("int")
+    several = largest.filter("m.n < members").select("bucket", F.col("m.root").alias("major"), parts(F.col("members") - F.col("m.n")).alias("few"), parts(F.col("m.n")).alias("many"))
+    rows = rooted.join(several, "bucket").withColumn("minor", F.col("root") != F.col("major"))
+    side = F.when(F.col("minor"), F.pmod(F.hash("node"), F.col("few"))).otherwise(F.col("few") + F.pmod(F.hash("node"), F.col("many"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(F.col("minor"), F.col("few") + F.col("many")).otherwise(F.col("few")) - 1)
+    placed = rows.withColumn("side", side).select("bucket", "band", "node", "root", "side", F.explode(others).alias("other"))
+    return placed.select("bucket", "band", "node", "root", "side", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y")).join(sigs, "node").select(*_CELL.names)
 
 
 def _texts(base: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
