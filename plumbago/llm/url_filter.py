@@ -1,18 +1,20 @@
 """URL filters: a blocked Bloom filter of listed canonical URLs, then an exact hash join of what passes it.
 
-A canonical URL is the host (A-Z lower-cased) followed by the path, without scheme, query and fragment. A listed entry fits its host and all subdomains if the path begins with the entry's. A URL
-is therefore looked up under every suffix of its host, at every length that a listed path has. Blocks have 512 bits in eight words; an entry sets one bit in each word of one block. The filter is built on the executors and
-OR-ed together block by block; its size is at most MOST_BLOCKS blocks (64 MiB) whatever the list's size, so it can be broadcast. The join removes all false positives, so the filter's fill affects cost alone. Of
-entries that fit, the longest wins; rules go before the list.
+A canonical URL is the host (A-Z lower-cased) followed by the path, without scheme, query and fragment. A listed entry fits its host and all subdomains if the path begins with the entry's. The filter holds the listed hosts and the listed entries. A URL
+is looked up in two steps: the suffixes of its host, up to as many labels as a listed host has, and, for those that pass alone, the beginnings of its path at every length that a listed path has. Blocks have 512 bits in eight words; an entry sets one bit in each word of one block. The
+filter is built on the executors and OR-ed together block by block; its size is at most MOST_BLOCKS blocks (64 MiB) whatever the list's size, so it can be broadcast. The join removes all false positives, so the filter's fill affects cost alone: at 16 bits an entry few pass, beyond 33
+million entries and hosts more and more. Of entries that fit, the longest wins; rules go before the list.
 
 Cases. A null URL, or one without ``://``, has an empty host and path and fits nothing. Of equal entries with different verdicts, block wins. Repeated rows are judged each, with equal results. An empty list judges all URLs
-by the default. Very long paths are whole. Other columns pass through judge() unchanged; host, path, rule and verdict
+by the default; an empty table gives an empty result. Very long hosts and paths are whole. Other columns pass through judge() unchanged; host, path, rule and verdict
 replace columns of these names.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,9 @@ from plumbago.llm.cluster import checkpoint, fresh, read, small
 
 BITS_PER_ENTRY = 16
 MOST_BLOCKS = 1 << 20
+#: Look-ups that a task holds at a time.
+CANDIDATES = 8192
+_HOST = "\0"  # stands before a host in the filter, never in an entry
 #: Rules of the query: host, path, verdict.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 #: Blocked hosts of the query, for URLs that no rule fits.
@@ -82,33 +87,42 @@ def build(listed: DataFrame, entries: int) -> Bloom:
     return out
 
 
-def candidates(host: str, path: str, lengths: list[int]) -> list[str]:
-    """Everything under which a URL can be listed."""
-    labels = host.split(".") if host else []
-    hosts = [".".join(labels[k:]) for k in range(len(labels))]
-    cuts = [path[:n] for n in lengths if n <= len(path)]
-    return [h + p for h in hosts for p in cuts]
+def suffixes(host: str, labels: int) -> list[str]:
+    """The host's ends of at most so many labels."""
+    parts = host.rsplit(".", labels) if host and labels else []
+    return [".".join(parts[k:]) for k in range(max(0, len(parts) - labels), len(parts))]
+
+
+def _hits(bloom: Bloom, urls: Iterator[tuple[str, str, str]], labels: int, lengths: list[int]) -> Iterator[tuple[str, str]]:
+    """(key, entry) of all that passes the filter, from key, host, path."""
+
+    def passing(found: Iterator[tuple[tuple, str]]) -> Iterator[tuple[tuple, str]]:
+        while some := list(islice(found, CANDIDATES)):
+            ok = bloom.passes([e for _, e in some])
+            yield from (some[k] for k in np.flatnonzero(ok).tolist())
+
+    hosts = passing(((key, path, end), _HOST + end) for key, host, path in urls for end in suffixes(host, labels))
+    for (key, _, _), entry in passing(((x, x[2] + x[1][:n]) for x, _ in hosts for n in lengths[: bisect_right(lengths, len(x[1]))])):
+        yield key, entry
 
 
 def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, default: str = "allow") -> DataFrame:
     """pages with host, path, rule (the entry of rules that fits, or null) and verdict. rules: host, path, verdict; listed: host, path of blocked URLs."""
     pages = pages.drop("host", "path", "rule", "verdict")
     known = rules.select("host", "path", "verdict", F.lit(1).alias("first")).union(listed.select("host", "path", F.lit("block"), F.lit(0)))
-    known = known.groupBy(F.concat(F.translate("host", _UPPER, _LOWER), "path").alias("entry"), "first").agg(F.max("verdict").alias("verdict"), F.collect_set(F.length("path")).alias("lengths"))
+    known = known.groupBy(F.concat(F.translate("host", _UPPER, _LOWER), "path").alias("entry"), "first").agg(F.max("verdict").alias("verdict"), F.collect_set(F.length("path")).alias("lengths"), F.collect_set(F.translate("host", _UPPER, _LOWER)).alias("hosts"))
     known = checkpoint(known)
-    entries = known.count()
     lengths = sorted(r[0] for r in known.select(F.explode("lengths")).distinct().collect())  # as many as paths have lengths
-    told = pages.sparkSession.sparkContext.broadcast((build(known, entries), lengths))
+    labels = known.agg(F.coalesce(F.max(F.array_max(F.transform("hosts", lambda h: F.size(F.split(h, "[.]"))))), F.lit(0))).first()[0]
+    every = known.select("entry").union(known.select(F.explode("hosts").alias("h")).distinct().select(F.concat(F.lit(_HOST), "h")))
+    told = pages.sparkSession.sparkContext.broadcast((build(every, every.count()), labels, lengths))
     urls = pages.select(F.md5("url").alias("key"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).filter("host != ''")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom, cuts = told.value
-        for b in batches:
-            for i in range(0, b.num_rows, 1024):
-                keys, hosts, paths = (b.column(c).slice(i, 1024).to_pylist() for c in range(3))
-                found = [(k, e) for k, h, p in zip(keys, hosts, paths, strict=True) for e in candidates(h, p, cuts)]
-                ok = np.flatnonzero(bloom.passes([e for _, e in found])).tolist() if found else []
-                yield pa.RecordBatch.from_arrays([pa.array([found[x][k] for x in ok], pa.string()) for k in (0, 1)], ["key", "entry"])
+        rows = (x for b in batches for i in range(0, b.num_rows, 1024) for x in zip(*(b.column(c).slice(i, 1024).to_pylist() for c in range(3)), strict=True))
+        hits = _hits(told.value[0], rows, *told.value[1:])
+        while some := list(islice(hits, CANDIDATES)):
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in some], pa.string()) for k in (0, 1)], ["key", "entry"])
 
     maybe = urls.mapInArrow(work, "key string, entry string")
     known = known.select("entry", "first", "verdict")
