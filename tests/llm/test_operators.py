@@ -111,9 +111,10 @@ def test_bag_minhash_estimates_weighted_similarity():
     assert (alone[0] == t[1]).all()
 
 
-@pytest.mark.parametrize("members", [near_dup.BLOCK_MEMBERS, 3])
-def test_near_duplicates(spark, monkeypatch, members):
+@pytest.mark.parametrize("members, hub", [(near_dup.BLOCK_MEMBERS, near_dup.HUB_ROWS), (3, 40)])
+def test_near_duplicates(spark, monkeypatch, members, hub):
     monkeypatch.setattr(near_dup, "BLOCK_MEMBERS", members)
+    monkeypatch.setattr(near_dup, "HUB_ROWS", hub)
     rows = fixture_rows()
     got = {r.doc_id: r for r in near_dup.near_duplicates(spark.createDataFrame([(i, t, "n") for i, t in rows], "doc_id long, text string, node string")).collect()}
     want = classes(rows)
@@ -122,6 +123,14 @@ def test_near_duplicates(spark, monkeypatch, members):
     assert all(got[i].class_size == sizes[c] and got[i].kept == (i == c) for (i, _), c in zip(rows, want, strict=True))
 
 
+def test_op1_query_against_all_pairs(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
+    got = {r.doc_id: r.class_id for r in near_dup.op1_minhash_near_dedup(spark, sf).collect()}
+    assert [got[i] for i, _ in rows] == classes(rows)
+    assert near_dup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_deduplicated_keeps_one_row_a_class(spark):
     rows = [(1, "a b c d e f", 1), (1, "a b c d e f", 1), (2, "a b c d e f", 2), (None, None, 3), (3, "z", 4), (None, "z", 5)]
     out = near_dup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, class_id int"))
@@ -352,6 +361,21 @@ def test_url_filter(spark):
         assert got[k] == (host, path, rule and rule[0] + rule[1], verdict), u
 
 
+def test_url_filter_against_brute_force(spark):
+    r = random.Random(3)
+    label = lambda: r.choice(["a", "b", "cc", "ads"])
+    listed = [(".".join(label() for _ in range(r.randrange(1, 4))), "/" + "/".join(label() for _ in range(r.randrange(3)))) for _ in range(60)]
+    urls = [f"http://{'.'.join(label() for _ in range(r.randrange(1, 6)))}/{'/'.join(label() for _ in range(r.randrange(4)))}" for _ in range(400)] + [f"http://{'x.' * 20_000}ads/", "http://ads/" + "p" * 50_000, "http://..ads./", "http://."]
+    schema = "host string, path string"
+    got = {x.page_id: x.verdict for x in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id int, url string"), spark.createDataFrame([], schema + ", verdict string"), spark.createDataFrame([*listed, ("ads", "/")], schema)).collect()}
+    for k, u in enumerate(urls):
+        host, _, path = u.split("://")[1].partition("/")
+        fits = any((host == h or host.endswith("." + h)) and ("/" + path if "/" in u.split("://")[1] else "").startswith(p) for h, p in [*listed, ("ads", "/")])
+        assert got[k] == ("block" if fits else "allow"), u[:80]
+    none = url_filter.judge(spark.createDataFrame([(1, "http://a/")], "page_id int, url string"), spark.createDataFrame([], schema + ", verdict string"), spark.createDataFrame([], schema)).first()
+    assert none.verdict == "allow" and url_filter.op5_url_filters
+
+
 def test_bloom_has_no_false_negatives():
     b = url_filter.Bloom(4)
     block, bits = url_filter._places([f"e{k}" for k in range(200)], 4)
@@ -679,14 +703,48 @@ def test_token_counts_share_a_trie_but_not_results():
     r = random.Random(4)
     ws = {token_count.MARK + "".join(r.choice(["the", "ing", "é", "x", "漢", "qu", "##", "re"]) for _ in range(r.randrange(1, 9))) for _ in range(300)}
     assert u.counts(ws) == {w: brute(w) for w in ws}
+    found = u.pieces({w: 3 for w in ws})
+    assert sum(found.values()) == 3 * sum(brute(w) for w in ws) and all(p in u.logp or p == token_count.BYTES for p in found)
+
+
+def test_fit_raises_the_likelihood(spark):
+    texts = ["the cat sat on the mat", "the cat", None, "", "zyzzyva 漢字 the the", "the cat"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    start = token_count.Unigram.of_model()
+    words = Counter(token_count.MARK + w for t in texts for w in (t or "").split())
+    model = start.fitted(start.pieces(words))
+    model = model.fitted(model.pieces(words))
+    made = token_count.fit(docs, start)
+    assert made.logp == pytest.approx(model.logp) and made.byte_logp == pytest.approx(model.byte_logp)
+    assert sum(math.exp(x) for x in made.logp.values()) + 256 * math.exp(made.byte_logp) == pytest.approx(1)
+
+    def likelihood(m):
+        return sum(n * (m.byte_logp if p == token_count.BYTES else m.logp[p]) for p, n in m.pieces(words).items())
+
+    even = token_count.Unigram(dict.fromkeys(start.logp, -math.log(len(start.logp) + 256)), -math.log(len(start.logp) + 256))
+    assert likelihood(made) > likelihood(even)
 
 
 def test_token_totals(monkeypatch):
-    texts = [None, "", "  \n", "the cat", "the cat the cat", "z" * 5000, "the cat"]
-    want = token_count.totals(texts, token_count.MODEL)
+    texts = [None, "", "  \n", "the cat", "the cat the cat", "z" * 5000, "the\u00a0cat"]
+    u = token_count.Unigram.of_model()
+    want = u.totals(texts)
     assert want[1] == [0, 0, 0, 2, 4, 1, 1] and want[0][4] == 2 * want[0][3]
     monkeypatch.setattr(token_count, "KEPT", 2)
-    assert [token_count.totals([t], token_count.MODEL)[0][0] for t in texts] == want[0]
+    assert [u.totals([t])[0][0] for t in texts] == want[0]
+
+
+def test_op10_query(spark, tmp_path):
+    rows = [(k, t, "en", "s", 1) for k, t in enumerate(["the cat", "the cat the", "\tcat\n", "é漢"])] + AWKWARD
+    out = token_count.op10_token_counts(spark, query_tables(spark, tmp_path / "a", rows, [])).collect()
+    words = Counter(w for _, t, *_ in rows for w in token_count.PIECE.findall(t or ""))
+    model = token_count.Unigram.of_model()
+    for _ in range(token_count.ROUNDS):
+        model = model.fitted(model.pieces({token_count.MARK + w: n for w, n in words.items()}))
+    per = model.counts({token_count.MARK + w for w in words})
+    want = sorted((str(i), sum(per[token_count.MARK + w] for w in token_count.PIECE.findall(t or "")), len(token_count.PIECE.findall(t or ""))) for i, t, *_ in rows)
+    assert sorted((str(r.doc_id), r.n_tokens, r.n_pretokens) for r in out) == want
+    assert token_count.op10_token_counts(spark, query_tables(spark, tmp_path / "b", [], [])).count() == 0
 
 
 # what the queries derive
