@@ -59,9 +59,10 @@ def row_text(df: DataFrame, columns: list[str] | None = None) -> Column:
 def to_records(rows: DataFrame, row_index: str) -> DataFrame:
     """row_index, content, raw_data of the rows that aren't all null and say something; row_index is the row's number in its source."""
     data = [c for c in rows.columns if c != row_index]
-    known = rows.dropna("all", subset=data)
+    there = lambda c: F.nullif(F.col(f"`{c}`").cast("string"), F.lit("NaN")) if isinstance(rows.schema[c].dataType, (T.FloatType, T.DoubleType)) else F.col(f"`{c}`").cast("string")
+    known = rows.filter(F.coalesce(*map(there, data)).isNotNull()) if data else rows.limit(0)
     raw = F.map_from_arrays(F.array(*(F.lit(c.strip() if "Unnamed" not in c else "") for c in data if "Unnamed" not in c)), F.array(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in data if "Unnamed" not in c)))
-    return known.select(F.col(row_index).cast("int").alias("row_index"), row_text(rows, data).alias("content"), raw.alias("raw_data")).filter(~text.blank(F.col("content")))
+    return known.select(F.col(f"`{row_index}`").cast("int").alias("row_index"), row_text(rows, data).alias("content"), raw.alias("raw_data")).filter(~text.blank(F.col("content")))
 
 
 def header_rows(rows: DataFrame, row_index: str, look: int = 5) -> int:
@@ -73,15 +74,34 @@ def header_rows(rows: DataFrame, row_index: str, look: int = 5) -> int:
 
 
 def record_chunks(records: DataFrame, doc_id: str, doc_name: str) -> DataFrame:
-    """A chunk a record; ids count the records in the order of row_index. One source table is numbered in one task, as its file was read."""
-    index = F.row_number().over(Window.partitionBy(F.lit(doc_id)).orderBy("row_index")) - 1
-    return records.withColumn("i", index.cast("int")).filter(~text.blank(F.col("content"))).select(
-        text.chunk_id(F.lit(doc_id), F.col("i")).alias("chunk_id"),
-        F.lit(doc_id).alias("doc_id"),
-        F.lit(doc_name).alias("doc_name"),
+    """A chunk a record; ids count the records in the order of row_index. They are sorted over all tasks and numbered by the sizes of the parts, as one source may hold all rows."""
+    ordered = records.repartitionByRange("row_index").withColumn("part", F.spark_partition_id()).persist()
+    sizes = dict(ordered.groupBy("part").count().collect())  # a row a partition
+    before, at = {}, 0
+    for part in sorted(sizes):
+        before[part] = at
+        at += sizes[part]
+    offset = F.create_map(*(F.lit(x) for kv in before.items() for x in kv))[F.col("part")] if before else F.lit(0)
+    within = F.row_number().over(Window.partitionBy("part").orderBy("row_index")) - 1
+    return _record_chunks(ordered.withColumn("i", (offset + within).cast("int")).filter(~text.blank(F.col("content"))), F.lit(doc_id), F.lit(doc_name))
+
+
+def workbook_chunks(books: DataFrame) -> DataFrame:
+    """A chunk a record of workbooks (doc_id, doc_name, records), numbered along each."""
+    rows = books.select("doc_id", "doc_name", F.posexplode("records").alias("i", "r")).select("doc_id", "doc_name", "i", "r.*")
+    return _record_chunks(rows, F.col("doc_id"), F.col("doc_name"))
+
+
+def _record_chunks(numbered: DataFrame, doc_id: Column, doc_name: Column) -> DataFrame:
+    own = F.create_map(F.lit("row_index"), F.col("row_index").cast("string"), F.lit("index"), F.col("i").cast("string"))
+    raw = F.map_filter("raw_data", lambda k, v: ~k.isin("row_index", "index"))  # the chunk's own numbers win
+    return numbered.select(
+        text.chunk_id(doc_id, F.col("i")).alias("chunk_id"),
+        doc_id.alias("doc_id"),
+        doc_name.alias("doc_name"),
         "content",
         F.lit(None).cast("int").alias("page"),
         F.lit(None).cast("string").alias("section"),
         F.lit("local").alias("source_type"),
-        F.map_concat(F.create_map(F.lit("row_index"), F.col("row_index").cast("string")), F.col("raw_data")).alias("metadata"),
+        F.map_concat(own, raw).alias("metadata"),
     )

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,27 +26,22 @@ def normed(table: DataFrame, embedding: str = "embedding") -> DataFrame:
     return table.withColumn("norm", vectors.norm(F.col(embedding)))
 
 
-def _scored(queries: DataFrame, table: DataFrame, mode: str) -> DataFrame:
-    q = normed(queries).select("query_id", F.col("embedding").alias("asked"), F.col("norm").alias("asked_norm"))
-    t = normed(table).select("chunk_id", "embedding", "norm")
-    pairs = t.crossJoin(F.broadcast(q))  # queries are counted by search()
-    both = F.col("norm") * F.col("asked_norm")
-    cos = F.coalesce(F.when(both > 0, vectors.dot(F.col("embedding"), F.col("asked")) / both), F.lit(0.0))
-    return pairs.select("query_id", "chunk_id", cos.alias("cosine"), vectors.score(cos, mode).alias("score"))
+def search(queries: DataFrame, table: DataFrame, k: int = 5, mode: str = "cosine") -> DataFrame:
+    """query_id, chunk_id, cosine, score, rank: exact, nearest by cosine first. The stated query set is scanned against all vectors in blocks of a checked size, by matrix products over batches; a task keeps k candidates a query. Rows without a vector aren't found."""
+    whole = table.filter("embedding is not null").select(F.lit(0).alias("cell"), "chunk_id", "embedding")
+    parts = [_best(whole, queries.schema["query_id"], ids, x, np.ones((len(ids), 1), bool), k) for ids, x in _asked(queries)]
+    return reduce(lambda a, b: a.union(b), parts).select("query_id", "chunk_id", "cosine", vectors.score(F.col("cosine"), mode).alias("score"), "rank")
 
 
-def search(queries: DataFrame, table: DataFrame, k: int = 5, mode: str = "cosine") -> DataFrame:
-    """query_id, chunk_id, cosine, score, rank: exact, nearest by cosine first. The stated query set is scanned against all vectors in blocks of a checked size."""
-    n = queries.count()
-    if n <= QUERIES_A_SCAN:
-        return top(_scored(queries, table, mode), k, F.round("cosine", 9))
-    blocks = -(-n // QUERIES_A_SCAN)
-    numbered = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    parts = [top(_scored(numbered.filter(F.col("block") == b).drop("block"), table, mode), k, F.round("cosine", 9)) for b in range(blocks)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+def _asked(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
+    """Ids and unit vectors of the stated query set, in blocks of a checked size that the driver holds one at a time; at least one."""
+    some = queries.filter("embedding is not null").select("query_id", "embedding")
+    blocks = max(1, -(-some.count() // QUERIES_A_SCAN))
+    numbered = some.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    for b in range(blocks):
+        rows = numbered.filter(F.col("block") == b).collect()
+        if rows or not b:
+            yield [r.query_id for r in rows], _units([r.embedding for r in rows]) if rows else np.zeros((0, 1))
 
 
 class CellIndex:
@@ -68,7 +64,14 @@ class CellIndex:
         return cls(model, model.transform(ready).drop("v"))
 
     def write(self, path: str) -> None:
-        self.table.write.mode("overwrite").partitionBy("cell").parquet(path)
+        self.table.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/cells")
+        self.model.write().overwrite().save(f"{path}/centres")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> CellIndex:
+        from pyspark.ml.clustering import KMeansModel
+
+        return cls(KMeansModel.load(f"{path}/centres"), spark.read.parquet(f"{path}/cells"))
 
     def _radii(self):
         """Of each cell, the distance of its farthest unit vector from the centre; as many as cells."""
@@ -90,60 +93,55 @@ class CellIndex:
         the slack covers the rounding of cosines to nine places. The stated query set is asked in blocks of a checked size, which the driver holds one at a time.
         """
         centres, radii = np.array(self.model.clusterCenters()), self._radii()
-        blocks = max(1, -(-queries.count() // QUERIES_A_SCAN))
-        numbered = queries.select("query_id", "embedding").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        out = None
-        for b in range(blocks):
-            asked = numbered.filter(F.col("block") == b).collect()
-            if not asked and blocks > 1:
-                continue
-            ids, x = [r.query_id for r in asked], _units([r.embedding for r in asked]) if asked else np.zeros((0, centres.shape[1]))
-            far = np.stack([np.linalg.norm(x - c, axis=1) for c in centres], 1)
+        out = []
+        for ids, x in _asked(queries):
+            far = np.stack([np.linalg.norm(x - c, axis=1) for c in centres], 1) if ids else np.zeros((0, len(centres)))
             first = np.zeros(far.shape, bool)
             np.put_along_axis(first, np.argsort(far, 1, kind="stable")[:, :probes], True, 1)
-            near = self._scan(ids, x, first, k, queries).persist()
+            near = _best(self.table, queries.schema["query_id"], ids, x, first, k).persist()
             kth = {r.query_id: r.cosine for r in near.filter(F.col("rank") == k).collect()}  # at most one a query
             reach = np.sqrt(np.maximum(2 - 2 * np.array([kth.get(i, -1.0) for i in ids]), 0) + 1e-8)  # without a k-th vector all are in reach
             may = (far - radii[None] <= reach[:, None] + 1e-6) & ~first
-            found = near.union(self._scan(ids, x, may, k, queries))
-            out = found if out is None else out.union(found)
-        return top(out.drop("rank"), k, F.round("cosine", 9)).select("query_id", "chunk_id", "cosine", vectors.score(F.col("cosine"), mode).alias("score"), "rank")
-
-    def _scan(self, ids: list, x: np.ndarray, probed: np.ndarray, k: int, queries: DataFrame) -> DataFrame:
-        """query_id, chunk_id, cosine, rank: the k best of the cells marked in ``probed`` for each query; a task keeps k candidates a query."""
-        schema = T.StructType([queries.schema["query_id"], self.table.schema["chunk_id"], T.StructField("cosine", T.DoubleType())])
-        told = self.table.sparkSession.sparkContext.broadcast((ids, x, probed))
-
-        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, x, probed = told.value
-            best, held, size, floor = pd.DataFrame({"q": [], "chunk_id": [], "cosine": []}), [], 0, np.full(len(ids), -np.inf)
-
-            def cut() -> pd.DataFrame:
-                every = pd.concat([f for f in (best, *held) if len(f)]) if size or len(best) else best
-                every = every.assign(by=-every["cosine"].round(9)).sort_values(["q", "by", "chunk_id"])
-                return every[every.groupby("q").cumcount() < k].drop(columns="by")
-
-            for batch in batches:
-                for cell, rows in batch.groupby("cell"):
-                    asked = np.flatnonzero(probed[:, cell])
-                    some = max(1, HELD // max(1, len(asked)))
-                    for at in range(0, len(rows) if len(asked) else 0, some):
-                        part = rows.iloc[at : at + some]
-                        cos = x[asked] @ _units(part["embedding"]).T
-                        least = np.partition(cos, -k, 1)[:, -k] if cos.shape[1] > k else np.full(len(asked), -np.inf)
-                        q, v = np.nonzero(cos >= np.maximum(least, floor[asked])[:, None] - 2e-9)
-                        held.append(pd.DataFrame({"q": asked[q], "chunk_id": part["chunk_id"].to_numpy()[v], "cosine": cos[q, v]}))
-                        size += len(q)
-                        if size > HELD:
-                            best, held, size = cut(), [], 0
-                            full = best.groupby("q")["cosine"].agg(["size", "min"])
-                            full = full[full["size"] == k]
-                            floor[full.index.to_numpy(int)] = full["min"]
-            best = cut()
-            if len(best):
-                yield pd.DataFrame({"query_id": [ids[q] for q in best["q"].astype(int)], "chunk_id": best["chunk_id"].to_numpy(), "cosine": best["cosine"].to_numpy()})
-
-        return top(self.table.select("cell", "chunk_id", "embedding").mapInPandas(work, schema), k, F.round("cosine", 9))
+            out += [near, _best(self.table, queries.schema["query_id"], ids, x, may, k)]
+        found = reduce(lambda a, b: a.union(b), out)
+        return top(found.drop("rank"), k, F.round("cosine", 9)).select("query_id", "chunk_id", "cosine", vectors.score(F.col("cosine"), mode).alias("score"), "rank")
+
+
+def _best(table: DataFrame, query_id: T.StructField, ids: list, x: np.ndarray, probed: np.ndarray, k: int) -> DataFrame:
+    """query_id, chunk_id, cosine, rank: the k best of the cells marked in ``probed`` (queries x cells) for each query; a task keeps k candidates a query."""
+    schema = T.StructType([query_id, table.schema["chunk_id"], T.StructField("cosine", T.DoubleType())])
+    told = table.sparkSession.sparkContext.broadcast((ids, x, probed))
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, x, probed = told.value
+        best, held, size, floor = pd.DataFrame({"q": [], "chunk_id": [], "cosine": []}), [], 0, np.full(len(ids), -np.inf)
+
+        def cut() -> pd.DataFrame:
+            every = pd.concat([f for f in (best, *held) if len(f)]) if size or len(best) else best
+            every = every.assign(by=-every["cosine"].round(9)).sort_values(["q", "by", "chunk_id"])
+            return every[every.groupby("q").cumcount() < k].drop(columns="by")
+
+        for batch in batches:
+            for cell, rows in batch.groupby("cell"):
+                asked = np.flatnonzero(probed[:, cell])
+                some = max(1, HELD // max(1, len(asked)))
+                for at in range(0, len(rows) if len(asked) else 0, some):
+                    part = rows.iloc[at : at + some]
+                    cos = x[asked] @ _units(part["embedding"]).T
+                    least = np.partition(cos, -k, 1)[:, -k] if cos.shape[1] > k else np.full(len(asked), -np.inf)
+                    q, v = np.nonzero(cos >= np.maximum(least, floor[asked])[:, None] - 2e-9)
+                    held.append(pd.DataFrame({"q": asked[q], "chunk_id": part["chunk_id"].to_numpy()[v], "cosine": cos[q, v]}))
+                    size += len(q)
+                    if size > HELD:
+                        best, held, size = cut(), [], 0
+                        full = best.groupby("q")["cosine"].agg(["size", "min"])
+                        full = full[full["size"] == k]
+                        floor[full.index.to_numpy(int)] = full["min"]
+        best = cut()
+        if len(best):
+            yield pd.DataFrame({"query_id": [ids[q] for q in best["q"].astype(int)], "chunk_id": best["chunk_id"].to_numpy(), "cosine": best["cosine"].to_numpy()})
+
+    return top(table.select("cell", "chunk_id", "embedding").mapInPandas(work, schema), k, F.round("cosine", 9))
 
 
 def _units(embedding) -> np.ndarray:

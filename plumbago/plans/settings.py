@@ -20,6 +20,7 @@ class Settings:
     use_cache: bool = True
     include_source: bool = True
     vector_score: str = "cosine"
+    probe_cells: int = 0
     cache_entries: int = 1000
     cache_seconds: int = 3600
     debug: bool = True

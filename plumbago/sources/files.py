@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbago.operators.ingest import identified, to_pages, to_records
+from plumbago.sources import workbooks
 
 #: Suffixes in the order in which a folder is read.
 MARKDOWN, WORKBOOKS = ("md",), ("xls", "xlsx")
@@ -21,7 +24,7 @@ def markdown(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def table(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of one table with their number in ``row_index``: CSV with a header, Parquet, or a workbook's first sheet where its reader is installed."""
+    """Rows of one table with their number in ``row_index``: CSV with a header, Parquet, or a workbook's first sheet."""
     if path.endswith(".parquet"):
         rows = spark.read.parquet(path)
     elif path.endswith(".csv"):
@@ -34,19 +37,30 @@ def table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def workbook(spark: SparkSession, path: str) -> DataFrame:
-    """The first sheet of a workbook, all values as text. Needs openpyxl (xlsx) or xlrd (xls)."""
-    import io
-
-    try:
-        import pandas as pd
-
-        blob = spark.read.format("binaryFile").load(path).select("content").first()[0]  # one workbook
-        frame = pd.read_excel(io.BytesIO(blob), header=0, engine="xlrd" if path.endswith(".xls") else "openpyxl")
-    except ImportError as e:
-        raise RuntimeError("reading workbooks needs openpyxl (xlsx) or xlrd (xls); CSV and Parquet are read without") from e
-    frame.columns = [str(c) for c in frame.columns]
-    frame.insert(0, "row_index", range(len(frame)))
-    return spark.createDataFrame(frame.astype(object).where(frame.notna(), None).astype({"row_index": int}))
+    """The first sheet of a workbook, all values as text, its first row as names."""
+    blob = spark.read.format("binaryFile").load(path).select("content").first()[0]  # one workbook
+    names, rows = workbooks.first_sheet(bytes(blob), path)
+    schema = T.StructType([T.StructField("row_index", T.IntegerType()), *(T.StructField(n, T.StringType()) for n in names)])
+    return spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], schema)
+
+
+def workbook_records(spark: SparkSession, folder: str) -> DataFrame:
+    """path, doc_id, doc_name, status and records (row_index, content, raw_data) of the workbooks of a folder (not of its subfolders). One that can't be read has no records and the status ``failed``. A task holds one workbook."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.{xls,xlsx}").load(folder).select("path", "content")
+
+    @F.pandas_udf("struct<status:string,records:array<struct<row_index:int,content:string,raw_data:map<string,string>>>>")
+    def read(paths: pd.Series, blobs: pd.Series) -> pd.DataFrame:
+        out = []
+        for path, blob in zip(paths, blobs, strict=True):
+            try:
+                out.append(("ok", [{"row_index": k, "content": c, "raw_data": d} for k, c, d in workbooks.records(*workbooks.first_sheet(blob, path))]))
+            except Exception:  # a broken file, or one without a reader, is told as such
+                out.append(("failed", []))
+        return pd.DataFrame(out, columns=["status", "records"])
+
+    name = F.element_at(F.split("path", "/"), -1)
+    rows = raw.select("path", read("path", "content").alias("r"), name.alias("name")).select("path", "name", "r.status", "r.records")
+    return identified(rows, F.url_decode(F.replace("name", F.lit("+"), F.lit("%2B")))).drop("name")
 
 
 def pick_folder(spark: SparkSession, base: str) -> str:

@@ -1,51 +1,67 @@
-"""The vector table: a Parquet folder with one row a chunk."""
+"""The vector table: Parquet with one row a chunk."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA = "chunk_id string, embedding array<float>, content string, doc_id string, doc_name string, page bigint, section string, source_type string"
-#: Longest values, in code points.
+from plumbago.sources.versions import Versions
+
+SCHEMA = "chunk_id string, embedding array<float>, content string, doc_id string, doc_name string, page bigint, section string, source_type string, chunk_index int"
+#: Longest values, in code points.
 LIMITS = {"content": 65535, "doc_name": 512, "section": 256}
-FIELDS = ("chunk_id", "content", "doc_id", "doc_name", "page", "section", "source_type")
+FIELDS = ("chunk_id", "content", "doc_id", "doc_name", "page", "section", "source_type", "chunk_index")
 
 
 class VectorStore:
-    """Append, look up, delete, truncate, count. Deletions rewrite the table beside itself and swap, so a reader never meets half of it."""
+    """Append, look up, filter, delete, truncate, count. What changes rows writes a version of the table and is seen once that is whole."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def _fs(self):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        self.spark, self.versions = spark, Versions(spark, path)
 
     def exists(self) -> bool:
-        p, fs = self._fs()
-        return fs.exists(p)
+        return self.versions.current() is not None
 
     def initialize(self) -> VectorStore:
         """Connect, or create an empty table."""
         if not self.exists():
-            self.spark.createDataFrame([], SCHEMA).write.parquet(self.path)
+            self.spark.createDataFrame([], SCHEMA).write.parquet(self.versions.next())
         return self
 
     def table(self) -> DataFrame:
-        return self.spark.read.schema(SCHEMA).parquet(self.path)
+        return self.spark.read.schema(SCHEMA).parquet(self.versions.current())
 
     @staticmethod
     def rows(chunks: DataFrame) -> DataFrame:
-        """Chunks as they are stored: those with a vector, cut to the limits, nulls filled."""
+        """Chunks as they are stored: those with a vector, cut to the limits, nulls filled. A chunk's number in its document is what its metadata call ``index``."""
         cut = lambda c: F.substring(F.coalesce(F.col(c), F.lit("")), 1, LIMITS[c]).alias(c)
-        return chunks.filter("embedding is not null").select("chunk_id", F.col("embedding").cast("array<float>").alias("embedding"), cut("content"), F.coalesce("doc_id", F.lit("")).alias("doc_id"), cut("doc_name"), F.coalesce(F.col("page").cast("bigint"), F.lit(0).cast("bigint")).alias("page"), cut("section"), F.coalesce("source_type", F.lit("local")).alias("source_type"))
-
-    def add(self, chunks: DataFrame, mode: str = "append") -> None:
-        """``replace`` first drops the documents that the chunks belong to."""
+        index = F.col("chunk_index") if "chunk_index" in chunks.columns else F.col("metadata")["index"] if "metadata" in chunks.columns else F.lit(None)
+        return chunks.filter("embedding is not null").select(
+            "chunk_id",
+            F.col("embedding").cast("array<float>").alias("embedding"),
+            cut("content"),
+            F.coalesce("doc_id", F.lit("")).alias("doc_id"),
+            cut("doc_name"),
+            F.coalesce(F.col("page").cast("bigint"), F.lit(0).cast("bigint")).alias("page"),
+            cut("section"),
+            F.coalesce("source_type", F.lit("local")).alias("source_type"),
+            F.coalesce(index.cast("int"), F.lit(0)).alias("chunk_index"),
+        )
+
+    def replaced(self, chunks: DataFrame) -> DataFrame:
+        """The stored chunks of the documents that the chunks belong to."""
+        return self.table().join(chunks.select("doc_id").distinct(), "doc_id", "left_semi")
+
+    def add(self, chunks: DataFrame, mode: str = "append") -> int:
+        """Number of rows added. ``replace`` first drops the documents that the chunks belong to."""
+        seen = Observation()
+        rows = self.rows(chunks).observe(seen, F.count(F.lit(1)).alias("n"))
         if mode == "replace":
-            self._swap(self.table().join(chunks.select("doc_id").distinct(), "doc_id", "left_anti").select("chunk_id", "embedding", *FIELDS[1:]).unionByName(self.rows(chunks)))
+            left = self.table().join(chunks.select("doc_id").distinct(), "doc_id", "left_anti").select("chunk_id", "embedding", *FIELDS[1:])
+            self._write(left.unionByName(rows))
         else:
-            self.rows(chunks).write.mode("append").parquet(self.path)
+            rows.write.mode("append").parquet(self.versions.current())
+        return seen.get["n"]
 
     def get(self, chunk_id: str) -> DataFrame:
         """One chunk; the filter reaches the scan."""
@@ -55,21 +71,14 @@ class VectorStore:
         return self.table().filter(condition)
 
     def delete_document(self, doc_id: str) -> None:
-        self._swap(self.table().filter(F.col("doc_id") != doc_id))
+        self._write(self.table().filter(F.col("doc_id") != doc_id))
 
     def reset(self) -> None:
-        self._swap(self.spark.createDataFrame([], SCHEMA))
-
-    def _swap(self, rows: DataFrame) -> None:
-        new, old = f"{self.path}.new", f"{self.path}.old"
-        rows.write.mode("overwrite").parquet(new)
-        p, fs = self._fs()
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        fs.delete(path(old), True)
-        fs.rename(p, path(old))
-        fs.rename(path(new), p)
-        fs.delete(path(old), True)
-        self.spark.catalog.refreshByPath(self.path)
+        self._write(self.spark.createDataFrame([], SCHEMA))
+
+    def _write(self, rows: DataFrame) -> None:
+        rows.write.parquet(self.versions.next())
+        self.versions.prune()
 
     def stats(self) -> DataFrame:
         return stats(self.table())

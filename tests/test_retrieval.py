@@ -1,6 +1,10 @@
 from __future__ import annotations
 
+import json
 import math
+from datetime import timedelta
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from threading import Thread
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,10 +13,12 @@ from plumbago.functions import vectors
 from plumbago.operators import cache, context, fusion, ingest, lexical, vector
 from plumbago.plans import queries
 from plumbago.plans.answer import REQUEST, Engine, health, valid
-from plumbago.plans.providers import BatchedEmbedder, PageSearch
+from plumbago.plans.providers import SYSTEM, BatchedEmbedder, HttpAnswerer, HttpEmbedder, HttpSearch, PageSearch
+from plumbago.plans.routes import Api
 from plumbago.plans.settings import Settings
 from plumbago.sources import files
 from plumbago.sources.store import VectorStore, documents
+from plumbago.sources.versions import Versions
 
 HIT = "query_id long, chunk_id string, score double, rank int"
 
@@ -33,9 +39,45 @@ def test_bm25(spark):
     assert raw(spark, docs, "") == {}
 
 
+def test_scan_gives_the_scores_of_an_index(spark):
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(["aa bb aa", "aa", "aa cc dd", "ee", "", None])], "chunk_id int, content string")
+    q = spark.createDataFrame([(0, "aa cc"), (1, "ee zz"), (2, "")], "query_id long, question string")
+    rows = lambda df: sorted((r.query_id, r.chunk_id, round(r.raw, 9)) for r in df.collect())
+    assert rows(lexical.scan(q, docs, with_han=False)) == rows(lexical.scores(q, lexical.build(docs, with_han=False), with_han=False)) != []
+    assert rows(lexical.scan(q, docs.limit(0), with_han=False)) == []
+
+
+def test_index_after_changes_is_the_index_of_what_is_left(spark, tmp_path):
+    path = str(tmp_path / "i")
+    schema = "chunk_id string, content string"
+    a, b, c = (spark.createDataFrame(x, schema) for x in ([("a", "aa bb"), ("b", "bb cc cc"), ("c", "")], [("b", "bb cc cc")], [("d", "dd aa"), ("e", "aa")]))
+    assert not lexical.LexicalIndex.exists(spark, path)
+    lexical.build(a).save(spark, path)
+    lexical.LexicalIndex.load(spark, path).changed(b, c).save(spark, path)
+    got, want = lexical.LexicalIndex.load(spark, path), lexical.build(a.filter("chunk_id != 'b'").union(c))
+    for t in ("postings", "terms", "stats"):
+        rows = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+        assert rows(getattr(got, t)) == rows(getattr(want, t).select(*getattr(got, t).columns)), t
+    assert lexical.LexicalIndex.exists(spark, path)
+    lexical.release()
+
+
+def test_versions_are_seen_when_whole(spark, tmp_path):
+    v = Versions(spark, str(tmp_path / "t"))
+    assert v.current() is None
+    for k in range(4):
+        spark.range(k).write.parquet(v.next())
+        v.prune()
+    half = tmp_path / "t" / "v5"
+    half.mkdir()
+    (half / "part-0.parquet").write_bytes(b"x")
+    assert v.current().endswith("/v4") and v.numbers() == [3, 4] and spark.read.parquet(v.current()).count() == 3
+    assert v.next().endswith("/v5") and not half.exists()
+
+
 def test_bm25_ties_and_saved_index(spark, tmp_path):
     chunks = spark.createDataFrame([(c, "aa xx") for c in "dbca"] + [("z", "bb"), ("y", "cc"), ("x", "dd"), ("w", "ee"), ("v", "ff")], "chunk_id string, content string")
-    lexical.build(chunks).save(str(tmp_path / "i"))
+    lexical.build(chunks).save(spark, str(tmp_path / "i"))
     got = lexical.retrieve(spark.createDataFrame([("q", "aa")], "query_id string, question string"), lexical.LexicalIndex.load(spark, str(tmp_path / "i")), 3).orderBy("rank").collect()
     assert [r.chunk_id for r in got] == ["a", "b", "c"] and all(0 < r.score <= 1 for r in got)
 
@@ -57,6 +99,21 @@ def test_cells_recall(spark):
     assert len(exact & pairs(vector.CellIndex.fit(t, cells=32).search(q, 10))) / len(exact) >= 0.9
 
 
+def test_saved_cells(spark, tmp_path):
+    t = spark.createDataFrame([(k, [math.cos(k), math.sin(k)]) for k in range(40)], "chunk_id int, embedding array<float>")
+    q = t.filter("chunk_id % 9 = 0").withColumnRenamed("chunk_id", "query_id")
+    vector.CellIndex.fit(t, cells=5).write(str(tmp_path / "cells"))
+    rows = lambda df: sorted((r.query_id, r.chunk_id, r["rank"]) for r in df.collect())
+    assert rows(vector.CellIndex.load(spark, str(tmp_path / "cells")).search(q, 3, probes=1)) == rows(vector.search(q, t, 3))
+
+
+def test_vectors_that_are_not_there(spark):
+    t = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0])], "chunk_id int, embedding array<float>")
+    q = spark.createDataFrame([(7, [1.0, 0.0]), (8, None)], "query_id int, embedding array<float>")
+    assert [(r.query_id, r.chunk_id, r.cosine) for r in vector.search(q, t, 5).orderBy("rank").collect()] == [(7, 1, 1.0), (7, 3, 0.0)]
+    assert vector.search(q.limit(0), t, 5).count() == vector.search(q, t.limit(0), 5).count() == 0
+
+
 def test_registered_cells_find_all(spark):
     d = "/root/testdata/sf0.1"
     rows = lambda df: sorted((r.query_id, r.chunk_id, r.score, r["rank"]) for r in df.collect())
@@ -148,7 +205,7 @@ def test_cache(spark):
     b = spark.createDataFrame([("r", True, "2")], a.schema)
     d = cache.put(c, b, now("2024-01-01 00:00:05"), entries=1)
     assert [r.question for r in d.collect()] == ["r"] and cache.stats(d).first().entries == 1
-    assert cache.invalidate(d, b).count() == 0 and cache.evicted(c).first().key == c.first().key
+    assert cache.clear(d).count() == 0 and cache.invalidate(d, b).count() == 0 and cache.evicted(c).first().key == c.first().key
 
 
 def test_cache_replay(spark):
@@ -165,6 +222,22 @@ def test_cache_replay(spark):
     assert got == want
 
 
+def test_cache_saved_and_loaded(spark, tmp_path):
+    now = lambda x: F.lit(x).cast("timestamp")
+    a = spark.createDataFrame([("q", True, "1")], "question string, use_web_search boolean, data string")
+    c = cache.put(spark.createDataFrame([], cache.SCHEMA), a, now("2024-01-01 00:00:00"))
+    cache.save(c, str(tmp_path / "c"))
+    assert [r.question for r in cache.load(spark, str(tmp_path / "c"), now("2024-01-01 00:59:59")).collect()] == ["q"] and cache.load(spark, str(tmp_path / "c"), now("2024-01-01 01:00:00")).count() == 0
+
+
+def test_replay_of_awkward_rows(spark):
+    rows = [("a", 0), ("a", 0), ("a", 3600), ("a", 3601), ("a", None), (None, 5), (None, 6), ("b", None)] + [("hot", 7 * k) for k in range(20_000)]
+    e = spark.createDataFrame(rows, "k string, s int").select("k", F.timestamp_seconds("s").alias("ts"))
+    got = {r.key: (r.requests, r.hits) for r in cache.replay(e, F.col("k")).collect()}
+    assert got == {"a": (4, 2), None: (2, 1), "hot": (20_000, 20_000 - 39)}
+    assert cache.replay(e.limit(0), F.col("k")).count() == 0
+
+
 def test_streamed_cache_equals_replay(spark, tmp_path):
     from plumbago.streaming.cache import hits
 
@@ -220,6 +293,152 @@ def test_end_to_end(spark, tmp_path):
     assert e.health().first().status == "healthy"
 
 
+def xlsx(rows):
+    """A workbook of shared and inline strings, numbers and gaps, by hand."""
+    import io
+    import zipfile
+
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    shared: list = []
+
+    def cell(k, r, v):
+        ref = f"{chr(65 + k)}{r}"
+        if isinstance(v, int):
+            return f'<c r="{ref}"><v>{v}</v></c>'
+        if len(v) % 2:
+            return f'<c r="{ref}" t="inlineStr"><is><t>{v}</t></is></c>'
+        shared.append(v)
+        return f'<c r="{ref}" t="s"><v>{len(shared) - 1}</v></c>'
+
+    body = "".join(f'<row r="{r}">' + "".join(cell(k, r, v) for k, v in enumerate(row) if v is not None) + "</row>" for r, row in enumerate(rows, 1) if any(v is not None for v in row))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="a" r:id="x"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="x" Target="worksheets/one.xml"/></Relationships>')
+        z.writestr("xl/worksheets/one.xml", f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}">' + "".join(f"<si><r><t>{v}</t></r></si>" for v in shared) + "</sst>")
+    return out.getvalue()
+
+
+def test_workbooks(spark, tmp_path):
+    book = xlsx([["项目", None, "数量 ", "项目"], ["钢绞线", "x", 3, "b"], [None, None, None, None], ["nan", "y", None, None], [" 锚具", None, 12, None]])
+    (tmp_path / "a b.xlsx").write_bytes(book)
+    (tmp_path / "bad.xlsx").write_bytes(b"no")
+    (tmp_path / "old.xls").write_bytes(b"no")
+    rows = {r.doc_name: r for r in files.workbook_records(spark, str(tmp_path)).collect()}
+    assert {n: r.status for n, r in rows.items()} == {"a b": "ok", "bad": "failed", "old": "failed"}
+    assert [(x.row_index, x.content, x.raw_data) for x in rows["a b"].records] == [(0, "项目: 钢绞线; 数量: 3; 项目.1: b", {"项目": "钢绞线", "数量": "3", "项目.1": "b"}), (3, "项目: 锚具; 数量: 12", {"项目": " 锚具", "数量": "12", "项目.1": ""})]
+    got = ingest.workbook_chunks(files.workbook_records(spark, str(tmp_path))).collect()
+    assert [r.metadata["row_index"] for r in got] == ["0", "3"] and [r.metadata["index"] for r in got] == ["0", "1"] and len({r.chunk_id for r in got}) == 2
+    same = ingest.record_chunks(files.parse_table(spark, str(tmp_path / "a b.xlsx")), got[0].doc_id, "a b").collect()
+    assert sorted((r.chunk_id, r.content) for r in same) == sorted((r.chunk_id, r.content) for r in got)
+
+
+def test_records_are_numbered_over_all_parts(spark):
+    r = spark.range(0, 5000, 1, 7).select(F.col("id").cast("int").alias("row_index"), F.when(F.col("id") % 3 == 0, "").otherwise("x").alias("content"), F.create_map(F.lit("a"), F.lit("b")).alias("raw_data"))
+    got = ingest.record_chunks(r, "d", "n").collect()
+    assert sorted(int(x.metadata["index"]) for x in got) == [k for k in range(5000) if k % 3] and all(x.metadata["index"] == x.metadata["row_index"] for x in got)
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    """An engine over markdown and a workbook."""
+    d = tmp_path_factory.mktemp("corpus")
+    (d / "in").mkdir()
+    (d / "in" / "long.md").write_text("".join(f"第{k}句讲锚具检测频率与路基。" for k in range(300)), "utf-8")
+    (d / "in" / "short.md").write_text("钢绞线 取样方法 GB 每批 一次。" * 30, "utf-8")
+    (d / "in" / "t.xlsx").write_bytes(xlsx([["name", "value"], ["quartz", 7], ["basalt", 9]]))
+    (d / "in" / "bad.xlsx").write_bytes(b"no")
+    e = Engine(spark, Settings(index_path=str(d / "i"), vector_path=str(d / "v"), chunk_size=300, chunk_overlap=60, min_chunk_size=20, cache_seconds=7))
+    return e, e.ingest(str(d / "in")).first(), str(d / "in")
+
+
+def test_ingest_of_a_folder(spark, corpus):
+    e, told, folder = corpus
+    n = e.store.table().count()
+    assert told.total_docs == 4 and told.total_chunks == n > 6 and [x.rpartition("/")[2] for x in told.failed_docs] == ["bad.xlsx"] and told.processing_time > 0
+    again = e.ingest(folder).first()
+    assert again.total_chunks == n == e.store.table().count()
+    index = lexical.LexicalIndex.load(spark, e.conf.index_path)
+    assert index.stats.first().n == n
+    whole = lexical.build(e.store.table())
+    assert sorted(map(tuple, index.terms.select("term", "df").collect())) == sorted(map(tuple, whole.terms.select("term", "df").collect()))
+    lexical.release()
+
+
+def test_chunks_of_one_page_stand_in_order(spark, corpus):
+    e = corpus[0]
+    rows = e.store.table().filter("doc_name = 'long'").orderBy("chunk_index").collect()
+    assert len({r.page for r in rows}) < len(rows) and [r.chunk_index for r in rows] == list(range(len(rows)))
+    for k in (0, 1, len(rows) - 1):
+        x = e.source(rows[k].chunk_id, neighbours=True).first()
+        assert x.context_before == (rows[k - 1].content if k else None) and x.context_after == (rows[k + 1].content if k + 1 < len(rows) else None)
+
+
+def test_requests_choose_how_many(spark, corpus):
+    e = corpus[0]
+    q = spark.createDataFrame([("a", "锚具检测频率", False, 1), ("b", "锚具检测频率", False, 7), ("c", "锚具检测频率", False, None)], REQUEST)
+    got = {}
+    for r in e.retrieve(q)[0].collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.chunk_id))
+    assert {k: len(v) for k, v in got.items()} == {"a": 1, "b": 7, "c": 5} and sorted(got["c"]) == sorted((r["rank"], r.chunk_id) for r in e.retrieve(q.filter("query_id = 'c'"))[0].collect())
+    only = e.retrieve(q, F.col("doc_name") == "short")[0].collect()
+    assert {r.doc_name for r in only} == {"short"} and len(only) >= 3
+    cells = Engine(spark, Settings(index_path=e.conf.index_path, vector_path=e.conf.vector_path, probe_cells=3))
+    assert sorted((r.query_id, r["rank"], r.chunk_id) for r in cells.retrieve(q)[0].collect()) == sorted((q, *x) for q, v in got.items() for x in v)
+
+
+def test_routes(spark, corpus):
+    api = Api(corpus[0])
+    assert api.handle("GET", "/")[0] == 200 and api.handle("GET", "/nothing")[0] == 404 and api.handle("POST", "/api/v1/query", {"question": ""})[0] == 422
+    status, told = api.handle("POST", "/api/v1/query", {"question": "锚具检测频率", "options": {"top_k": 2}})
+    assert status == 200 and len(told["data"]["sources"]) == 2 and not told["data"]["cached"] and told["data"]["query_time_ms"] >= 0
+    status, again = api.handle("POST", "/api/v1/query", {"question": "锚具检测频率"})
+    assert again["data"]["cached"] and again["data"]["answer"] == told["data"]["answer"] and api.cache.first().expires_at - api.cache.first().created_at == timedelta(seconds=7)
+    api.clear()
+    events = list(api.handle("POST", "/api/v1/query/stream", {"question": "锚具检测频率"})[1])
+    assert events[0].startswith("event: message\ndata: {") and events[-1].startswith("event: done") and "query_time_ms" in events[-1]
+    one = told["data"]["sources"][0]["chunk_id"]
+    assert api.handle("GET", f"/api/v1/source/{one}")[1]["data"]["chunk_id"] == one and api.handle("GET", "/api/v1/source/none")[0] == 404
+    health = api.handle("GET", "/api/v1/health")[1]
+    assert health["status"] == "healthy" and health["components"]["bm25"] == "ok" and health["stats"]["total_documents"] == 3
+
+
+def test_http_providers(spark):
+    class Stub(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            if self.path == "/embed":
+                told, status = {"output": {"embeddings": [{"embedding": [float(len(t)), 1.0]} for t in body["input"]["texts"]]}}, 500 if "bad" in body["input"]["texts"] else 200
+            elif self.path == "/search":
+                told, status = {"results": [{"title": body["query"], "content": body["include_domains"][0], "url": "u", "score": 0.9}, {"url": "v"}]}, 503 if body["query"] == "bad" else 200
+            else:
+                said = body["messages"][1]["content"]
+                told, status = ({"message": "quota"}, 429) if "bad" in said else ({"choices": [{"message": {"content": "re: " + said}}]}, 200)
+            self.send_response(status)
+            self.end_headers()
+            self.wfile.write(json.dumps(told).encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Stub)
+    Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    try:
+        rows = spark.createDataFrame([("a",), ("bad",), ("abc",), (" ",)], "t string").coalesce(1)
+        assert {r.t: r.embedding for r in HttpEmbedder(base + "/embed", "k", "m", 1).embed(rows, "t").collect()} == {"a": [1.0, 1.0], "bad": None, "abc": [3.0, 1.0], " ": None}
+        q = spark.createDataFrame([("1", "x"), ("2", "bad")], "query_id string, question string")
+        assert [tuple(r) for r in HttpSearch(base + "/search", "k").search(q, 2).orderBy("rank").collect()] == [("1", "x", "mot.gov.cn", "u", 0.9, 1), ("1", "", "", "v", None, 2)]
+        assert HttpSearch(base + "/search", "").search(q).count() == 0
+        p = spark.createDataFrame([("1", SYSTEM + "\n\nask"), ("2", "bad")], "query_id string, prompt string")
+        said = lambda a: {r.query_id: r.answer for r in a.answer(p).collect()}
+        assert said(HttpAnswerer(base, "k", "m")) == {"1": "re: ask", "2": HttpAnswerer.NAMED + "quota"}
+        assert set(said(HttpAnswerer(base, "", "m")).values()) == {HttpAnswerer.NOT_READY} and set(said(HttpAnswerer("http://127.0.0.1:9", "k", "m", seconds=2)).values()) == {HttpAnswerer.FAILED}
+    finally:
+        server.shutdown()
+
+
 def test_question_stream(spark, tmp_path):
     from plumbago.streaming.questions import answer_stream
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -55,6 +56,23 @@ def test_cleaning(spark, raw, want):
     assert one(spark, raw, text.clean_markdown(F.col("x"))) == want
 
 
+def test_cleaning_takes_linear_time(spark):
+    start = time.perf_counter()
+    for raw, want in (("[" * 400_000, "[" * 400_000), ("[](" * 100_000, "[](" * 100_000), ("a" + " " * 400_000 + "b", "a b"), ("[a](b" * 50_000 + ")c", None)):
+        got = one(spark, raw, text.clean_markdown(F.col("x")))
+        assert want is None or got == want
+    assert one(spark, "x" + " " * 400_000 + "y ", text.strip(F.col("x"))) == "x" + " " * 400_000 + "y"
+    assert time.perf_counter() - start < 60
+
+
+@settings(max_examples=30, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.sampled_from(["[", "]", "(", ")", "](", "a", "\n", " ", "[b](c)"]), max_size=20).map("".join), min_size=1, max_size=20))
+def test_links_as_a_plain_expression_finds_them(spark, raws):
+    rows = spark.createDataFrame([(x,) for x in raws], "x string").select("x", F.regexp_replace("x", *map(F.lit, text.CLEANING[3])).alias("y")).collect()
+    for r in rows:
+        assert r.y == re.sub(r"\[.*?\]\(.*?\)", "", r.x)
+
+
 def test_ids_pages_snippets_labels(spark):
     assert one(spark, "P020240607597845867899.md", text.doc_id(F.col("x"))) == "42bcc67347e138e2"
     assert one(spark, "a.b.md", text.doc_name(F.col("x"))) == "a.b"
