@@ -5,7 +5,7 @@ characters find: each filter reads SPAN bytes in a row, ends marked, at all plac
 their joined states, and a logistic unit scores the pooled state. The score of a text is that of its highest window after a logistic calibration.
 
 Fitting. All vectors and filters start at random and are learned through the network. Labels say only that a document is toxic, not where. The first windows to learn from are those in which a word, or the beginning of one, has the highest log odds of a toxic document, of each
-document, toxic or clean, with random clean windows; the log odds choose windows and are no inputs. Later rounds take the windows that the network itself ranks first. Gradients go through time in both directions and into the filters (Adam). At most
+document, toxic or clean, with random clean windows, and some texts of random letters count as clean, so that what was never seen isn't taken for toxic; the log odds choose windows and are no inputs. Later rounds take the windows that the network itself ranks first. Gradients go through time in both directions and into the filters (Adam), a share of words being read by their characters alone at each step. At most
 labelled.SAMPLE documents that aren't held out are used; labels, language, source and doc_id are never inputs. The vocabulary is the words of at least MIN_DOCS of them.
 
 Cost. The input part of all gates is computed once for each distinct word of a block of text and gathered for its occurrences, so characters are read once a distinct word.
@@ -36,6 +36,10 @@ VOCABULARY, MIN_DOCS = 30_000, 3
 STEMS, STEM_BITS = (4, 5, 6, 7), 18
 ROUNDS, STEPS, BATCH, RATE = 3, 80, 128, 0.02
 CUT = 0.5
+#: Share of words that a step reads by their characters alone, as words never seen are read later.
+HIDE = 0.2
+#: Labelled texts to one of random letters, learnt as clean.
+NOISE = 20
 #: Weight of a step in the average of parameters.
 AVERAGED = 0.03
 #: Distinct words whose characters are read at a time.
@@ -237,13 +241,21 @@ def _log_odds(h: np.ndarray, owner: np.ndarray, y: np.ndarray) -> tuple[np.ndarr
     return values[keep], np.clip(odds, -3, 5).astype(np.float32), docs[keep]
 
 
+def _unheard(n: int, rng: np.random.Generator) -> pa.Array:
+    """Texts of words of random letters: to be unheard of is no sign of toxicity."""
+    words = lambda: (rng.integers(97, 123, rng.integers(1, 12)).astype(np.uint8).tobytes().decode() for _ in range(rng.integers(1, 2 * WINDOW)))
+    return pa.array([" ".join(words()) for _ in range(n)], pa.large_string())
+
+
 def fit(texts: pa.Array, labels: list[int], seed: int = 4) -> Network:
     y = np.array(labels, np.int64)
     if not 0 < y.sum() < len(y):
         net = Network(np.zeros(0, np.uint64))
         net.constant = float((y.sum() + 1) / (len(y) + 2))
         return net
-    column = texts.cast(pa.large_string())
+    noise = _unheard(max(16, len(y) // NOISE), np.random.default_rng(seed + 1))
+    texts, y = pa.concat_arrays([texts.cast(pa.large_string()), noise]), np.append(y, np.zeros(len(noise), np.int64))
+    column = texts
     off = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data, off = bytes(memoryview(column.buffers()[2])[off[0] : off[-1]]), off - off[0]  # bounded by the sample
     words = words_of(data, off)
@@ -274,7 +286,7 @@ def fit(texts: pa.Array, labels: list[int], seed: int = 4) -> Network:
             order = rng.permutation(len(some))
             for k in range(0, len(some), BATCH):
                 step += 1
-                _learn(net, words, rows, at[some[order[k : k + BATCH]]], truth[order[k : k + BATCH]], moments, step)
+                _learn(net, words, rows, at[some[order[k : k + BATCH]]], truth[order[k : k + BATCH]], moments, step, rng)
                 if turn + 1 == ROUNDS:  # the last round's parameters are averaged
                     mean = {p: v.copy() for p, v in net.p.items()} if mean is None else {p: mean[p] + AVERAGED * (v - mean[p]) for p, v in net.p.items()}
         net.p = mean or net.p
@@ -284,13 +296,13 @@ def fit(texts: pa.Array, labels: list[int], seed: int = 4) -> Network:
     return net
 
 
-def _learn(net: Network, words: Words, known: np.ndarray, at: np.ndarray, truth: np.ndarray, moments: dict, step: int) -> None:
+def _learn(net: Network, words: Words, known: np.ndarray, at: np.ndarray, truth: np.ndarray, moments: dict, step: int, rng: np.random.Generator) -> None:
     """One step of Adam on a batch of windows."""
     flat, back = np.unique(at, return_inverse=True)
     back = back.reshape(at.shape)
     pad = int(flat[0] == -1)
     some = flat[pad:]
-    rows = known[some]
+    rows = np.where(rng.random(len(some)) < HIDE, len(net.vocabulary), known[some])
     found = net.spelt(words, some)
     x = np.concatenate([net.p["word"][rows], found[0]], 1)
     x = np.concatenate([np.zeros((pad, x.shape[1]), np.float32), x])
