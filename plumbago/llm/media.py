@@ -301,14 +301,18 @@ def _row(t: dict) -> dict:
     return {k: v for k, v in t.items() if k != "ranges"} | {"key_ranges": [{"start": p, "end": q} for p, q in t["key_ranges"]], "edits": [{"duration": long(a), "media_time": long(b)} for a, b in t["edits"]]}
 
 
+def _told(t: dict) -> str:
+    return "|".join(f"{a}-{b}" for a, b in t["key_ranges"])
+
+
 def feature(t: dict, payload: bytes) -> str:
     """Of a track: codec, rate, duration, key frames, and from its samples their mean level, crossings of the midline and distinct values."""
     x = np.frombuffer(payload, np.uint8)
     up = x >= 128
-    return f"{t['codec'].strip()};rate={t['timescale']};duration={t['duration']};keyframes={t['keyframes']};ranges={'|'.join(f'{a}-{b}' for a, b in t['key_ranges'])};mean={int(x.sum(dtype=np.int64)) * 1000 // len(x)};crossings={int((up[1:] != up[:-1]).sum())};values={int((np.bincount(x, minlength=256) > 0).sum())}"
+    return f"{t['codec'].strip()};rate={t['timescale']};duration={t['duration']};keyframes={t['keyframes']};ranges={_told(t)};mean={int(x.sum(dtype=np.int64)) * 1000 // len(x)};crossings={int((up[1:] != up[:-1]).sum())};values={int((np.bincount(x, minlength=256) > 0).sum())}"
 
 
-_COLUMNS = {"n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string", "codec": "string", "timescale": "long", "duration": "long", "keyframes": "long", "key_ranges": "array<struct<start:long,end:long>>"}
+_COLUMNS = {"n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string", "codec": "string", "timescale": "long", "duration": "long", "keyframes": "long", "key_ranges": "string"}
 
 
 def _stored(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -318,7 +322,7 @@ def _stored(batch: pa.RecordBatch) -> Iterator[dict]:
         media = wrap(raw + bytes(max(UNIT, -(-len(raw) // UNIT) * UNIT) - len(raw)))
         t = tracks(media)[0]
         back = b"".join(media[a:b] for a, b in t["ranges"])
-        track = _row(t)
+        track = t | {"key_ranges": _told(t)}
         for k, v in zip(out, (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature(t, back), *(track[c] for c in list(_COLUMNS)[7:])), strict=True):
             out[k].append(v)
     yield {"doc_id": batch.column(0), **out}
@@ -327,3 +331,52 @@ def _stored(batch: pa.RecordBatch) -> Iterator[dict]:
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = T._parse_datatype_string("doc_id long, " + ", ".join(f"`{c}` {t}" for c, t in _COLUMNS.items()))
     return map_arrow(read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _stored, schema)
+
+
+def _hex(n: int | str, digits: int = 8) -> str:
+    """SQL for a number, or SQL, as hexadecimal digits."""
+    return f"printf('%0{digits}x', {n})"
+
+
+def _sql() -> str:
+    """DuckDB SQL of the query: the container of wrap() put together as hexadecimal digits (payloads below 4 GiB), the payload read back from it, the features from its bytes."""
+    said = lambda b: f"'{b.hex()}'"
+    box = lambda kind, size, *body: " || ".join([_hex(f"{size} + 8"), said(kind), *body])
+    stsd = _full(b"stsd", "I", 1, rest=_box(b"raw ", bytes(6), struct.pack(">H", 1), bytes(8), struct.pack(">HHHHI", 1, 8, 0, 0, RATE << 16)))
+    head = lambda kind, rest: " || ".join([_hex(4 + rest + 8), said(kind), "'00000000'"])
+    stts = f"{head(b'stts', 12)} || '00000001' || {_hex('n')} || '00000001'"
+    stsc = f"case when chunks > 1 and last <> {CHUNK} then {_hex(40)} || {said(b'stsc')} || '0000000000000002' || '00000001' || {_hex(CHUNK)} || '00000001' || {_hex('chunks')} || {_hex('last')} || '00000001' else {_hex(28)} || {said(b'stsc')} || '0000000000000001' || '00000001' || case when chunks = 1 then {_hex('last')} else {_hex(CHUNK)} end || '00000001' end"
+    stsz = f"{head(b'stsz', 8)} || '00000001' || {_hex('n')}"
+    table = f"array_to_string(list_transform(range(chunks), lambda k: {_hex(f'first_ + {CHUNK} * k')}), '')"
+    stco = f"{box(b'stco', '8 + 4 * chunks')} || '00000000' || {_hex('chunks')} || {table}"
+    stbl = f"({len(stsd)} + 24 + case when chunks > 1 and last <> {CHUNK} then 40 else 28 end + 20 + 16 + 4 * chunks)"
+    smhd, dinf = _full(b"smhd", "hH", 0, 0), _box(b"dinf", _full(b"dref", "I", 1, rest=struct.pack(">I4sI", 12, b"url ", 1)))
+    hdlr = _full(b"hdlr", "I4s12s", 0, b"soun", bytes(12), rest=b"\0")
+    long = _hex("n", 16)
+    mdhd = " || ".join([_hex(44), said(b"mdhd"), said(struct.pack(">IQQI", 1 << 24, 0, 0, RATE)), long, said(struct.pack(">HH", 0x55C4, 0))])
+    tkhd = " || ".join([_hex(104), said(b"tkhd"), said(struct.pack(">IQQII", 1 << 24, 0, 0, 1, 0)), long, said(struct.pack(">QHHHH", 0, 0, 0, 0x0100, 0) + _MATRIX + bytes(8))])
+    mvhd = " || ".join([_hex(120), said(b"mvhd"), said(struct.pack(">IQQI", 1 << 24, 0, 0, RATE)), long, said(struct.pack(">IH10s", 0x10000, 0x0100, bytes(10)) + _MATRIX + bytes(24) + struct.pack(">I", 2))])
+    minf = f"({stbl} + 8 + {len(smhd) + len(dinf)})"
+    mdia = f"({minf} + 8 + 44 + {len(hdlr)})"
+    trak = f"({mdia} + 8 + 104)"
+    moov = f"({trak} + 8 + 120)"
+    ftyp = _box(b"ftyp", b"qt  ", struct.pack(">I", 512), b"qt  ")
+    media = " || ".join([said(ftyp), box(b"moov", moov), mvhd, box(b"trak", trak), tkhd, box(b"mdia", mdia), mdhd, said(hdlr), box(b"minf", minf), said(smhd), said(dinf), box(b"stbl", stbl), said(stsd), stts, stsc, stsz, stco, box(b"mdat", "n"), "payload"])
+    crc = f"""xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(list_slice(bytes, n - {UNIT - 1}, n), lambda c: c::ubigint)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda k: k::ubigint)), lambda x, k: case when x % 2 = 1 then xor(x >> 1, 3988292384::ubigint) else x >> 1 end)), 4294967295::ubigint)"""
+    return f"""
+with d as (select doc_id, lower(hex(encode(coalesce(text, '')))) as raw from documents),
+p as (select doc_id, length(raw) // 2 as n_bytes, rpad(raw, cast(greatest({UNIT}, (length(raw) // 2 + {UNIT - 1}) // {UNIT} * {UNIT}) * 2 as int), '0') as payload from d),
+q as (select doc_id, n_bytes, payload, length(payload) // 2 as n from p),
+c as (select *, (n + {CHUNK - 1}) // {CHUNK} as chunks, case when n % {CHUNK} = 0 then {CHUNK} else n % {CHUNK} end as last from q),
+o as (select *, {len(ftyp)} + {moov} + 8 + 8 as first_, list_transform(regexp_extract_all(payload, '..'), lambda x: cast('0x' || x as int)) as bytes from c),
+m as (select *, {media} as media from o),
+s as (select *, unhex(media) as stored, unhex(substr(media, first_ * 2 + 1, n * 2)) as back from m)
+select doc_id, n_bytes, octet_length(back) as payload_bytes, sha256(back) as payload_sha256, cast({crc} as bigint) as tail_crc32, octet_length(stored) as media_bytes, sha256(stored) as media_sha256,
+  'raw;rate={RATE};duration=' || n || ';keyframes=' || n || ';ranges=' || first_ || '-' || (first_ + n) || ';mean=' || list_sum(bytes)::bigint * 1000 // n || ';crossings=' || len(list_filter(list_zip(bytes, list_slice(bytes, 2, n)), lambda z: z[2] is not null and (z[1] >= 128) <> (z[2] >= 128))) || ';values=' || len(list_distinct(bytes)) as feature,
+  'raw ' as codec, cast({RATE} as bigint) as timescale, n as duration, n as keyframes, first_ || '-' || (first_ + n) as key_ranges
+from s
+"""
+
+
+SQL = _sql()

@@ -355,3 +355,24 @@ def _texts(base: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+#: The relation itself: all shingles of all texts, their multiset overlaps, and what is linked by them.
+SQL = r"""
+with recursive t as (
+  select row_number() over () as node, text, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from (select distinct text from documents where text is not null)
+), s as (
+  select node, array_to_string(list_slice(w, i, i + least(len(w), 5) - 1), ' ') as said, count(*) as c
+  from (select node, w, unnest(range(1, greatest(len(w) - 5, 0) + 2)) as i from t where len(w) > 0) group by 1, 2
+), z as (select node, sum(c) as total from s group by node),
+p as (select a.node as a, b.node as b, sum(least(a.c, b.c)) as i from s a join s b on a.said = b.said and a.node < b.node group by 1, 2),
+e as (select a, b from p join z x on x.node = a join z y on y.node = b where 5 * i >= 4 * (x.total + y.total - i)),
+g as (select a, b from e union all select b, a from e),
+r(node, other) as (select node, node from t union select r.node, g.b from r join g on g.a = r.other),
+c as (select node, min(other) as root from r group by node),
+d as (select doc_id, root from documents join t using (text) join c using (node)),
+k as (select root, min(doc_id) as class_id, count(*) as class_size from d group by root)
+select doc_id, class_id, class_size, doc_id is not distinct from class_id as kept from d join k using (root)
+union all select doc_id, doc_id, 1, true from documents where text is null
+"""

@@ -153,3 +153,49 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = lambda kinds: "array_join(concat(" + ", ".join(f"transform({k}, s -> concat('{k}:', s.start, ':', s.end))" for k in kinds) + "), ',')"
     found = personal_data(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(F.expr(said(KINDS)), 256).alias("base_sha256"), F.expr(said((*KINDS, "term"))).alias("spans"))
+
+
+_PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "word": r"\p{L}+",
+}
+
+#: The result by plain expressions and joins: spans, co-occurrence counts over all texts, disclosing terms, their places.
+SQL = (
+    "with d as (select doc_id, coalesce(text, '') as t from documents), x as (select t, count(*) as copies, row_number() over () as same from d group by t),\n"
+    "f as ("
+    + " union all ".join(f"select same, '{k}' as kind, {n} as place, regexp_extract_all(t, '{p}') as m, regexp_split_to_array(t, '{p}') as g from x" for n, (k, p) in enumerate(_PLAIN.items()))
+    + r"""),
+u as (select same, kind, place, unnest(m) as v, unnest(list_slice(g, 1, len(m))) as g, generate_subscripts(m, 1) as i from f where len(m) > 0),
+y as (select same, kind, place, v, cast(sum(length(g) + length(v)) over (partition by same, kind order by i) as bigint) as e, regexp_replace(v, '[^0-9]', '', 'g') as n from u),
+b as (
+  select same, kind, place, v, e - length(v) as s, e, kind || ':' || case kind when 'email' then lower(v) when 'ip' then v else n end as entity from y
+  where kind = 'email' or kind = 'phone' and length(n) between 8 and 15
+     or kind = 'ip' and len(list_filter(string_split(v, '.'), lambda p: length(ltrim(p, '0')) > 3 or cast('0' || right(p, 3) as int) > 255)) = 0
+     or kind = 'card' and length(n) between 16 and 19 and list_sum(list_transform(range(1, length(n) + 1), lambda i: case when (length(n) - i) % 2 = 0 then cast(substr(n, i, 1) as int) else cast(substr(n, i, 1) as int) * 2 - case when cast(substr(n, i, 1) as int) > 4 then 9 else 0 end end)) % 10 = 0
+), w as (select same, lower(v) as term, e - length(v) as s, e from y where kind = 'word'),
+c as (select same, term, count(*) as n from w group by same, term),
+nt as (select term, sum(n * copies) as n_t from c join x using (same) group by term),
+nw as (select same, sum(n) * any_value(copies) as n_words from c join x using (same) group by same),
+h as (select distinct same, entity from b), many as (select entity, count(*) as n from h group by entity),
+k as (select same, entity, case when n > 1 then entity else 'text ' || same end as class from h join many using (entity)),
+q as (select distinct same, class from k),
+beside as (select c.*, copies from c join x using (same) where same in (select same from h)),
+most as (select term, any_value(n_t) as n_t from beside join nt using (term) group by term having 2 * sum(n * copies) > any_value(n_t)),
+j as (select class, term, sum(n * copies) as n_te, sum(n) as m, any_value(n_t) as n_t from beside join most using (term) join q using (same) group by class, term),
+p as (select class, sum(coalesce(n_words, 0)) / greatest((select sum(n_t) from nt), 1) as p from q left join nw using (same) group by class),
+z as (select class, term, m, p, m * n_t / n_te + 1 as scale from j join p using (class)),
+said as (select distinct same, term from q join z using (class) where 2 * m > scale and ln((m + p) / scale / p) / ln(2) >= -"""
+    + str(THETA)
+    + r""" * ln(p) / ln(2)),
+o as (select w.same, w.s, w.e from w join said using (same, term) where not exists (select 1 from b where b.same = w.same and b.s < w.e and b.e > w.s)),
+l as (select same, kind, place, s, kind || ':' || s || ':' || e as told from b union all select same, 'term', 9, s, 'term:' || s || ':' || e from o),
+r as (select same, string_agg(told, ',' order by place, s) as spans, string_agg(told, ',' order by place, s) filter (kind <> 'term') as base, """
+    + ", ".join(f"count(*) filter (kind = '{k}') as n_{k}" for k in KINDS)
+    + " from l group by same)\nselect doc_id, "
+    + ", ".join(f"coalesce(n_{k}, 0) as n_{k}" for k in KINDS)
+    + ", sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d join x using (t) left join r using (same)"
+)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbago.llm import decontaminate, url_filter
+from plumbago.llm import decontaminate, media, near_dup, pii, secrets, url_filter
 from plumbago.llm.decontaminate import op2_benchmark_decontamination
 from plumbago.llm.media import op6_media_columns
 from plumbago.llm.mixture import op8_mixing_sources
@@ -32,6 +32,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_near_dedup": near_dup.SQL,
     "op2_benchmark_decontamination": decontaminate.SQL,
+    "op3_secret_scans": secrets.SQL,
     "op5_url_filters": url_filter.SQL,
+    "op6_media_columns": media.SQL,
+    "op9_pii": pii.SQL,
 }

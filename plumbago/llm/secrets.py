@@ -146,3 +146,41 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("secrets", lambda s: s["kind"].isin(*BASE))
     return found.select("doc_id", *(count(k) for k in BASE), F.sha2(said(base), 256).alias("base_sha256"), said(F.col("secrets")).alias("spans"))
+
+
+def _either(word: str) -> str:
+    """A word whose ASCII letters stand in either case, and no other letter that folds to them."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+_PLAIN = {
+    "assign": "(?:" + "|".join(map(_either, ("password", "passwd", "secret", "token"))) + "|" + _either("api") + "_?" + _either("key") + r""")["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+""",
+    "access": "AKIA[A-Z0-9]+",
+    "hex": "[0-9a-f]+",
+    "checked": "(?:gh[pousr]|npm)_[0-9A-Za-z]+",
+}
+_CRC = """xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split(substr(v, 5, 30), ''), lambda c: ord(c)::ubigint)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda k: k::ubigint)), lambda x, k: case when x % 2 = 1 then xor(x >> 1, 3988292384::ubigint) else x >> 1 end)), 4294967295::ubigint)"""
+
+#: The result by plain expressions over whole texts, with the checksum worked out bit by bit.
+SQL = (
+    "with d as (select doc_id, coalesce(text, '') as t, row_number() over () as rid from documents),\nf as ("
+    + " union all ".join(f"select rid, '{k}' as kind, {n} as place, regexp_extract_all(t, '{p}') as m, regexp_split_to_array(t, '{p}') as g from d" for n, (k, p) in enumerate(_PLAIN.items()))
+    + r"""),
+u as (select rid, kind, place, unnest(m) as v, unnest(list_slice(g, 1, len(m))) as g, generate_subscripts(m, 1) as i from f where len(m) > 0),
+y as (select rid, kind, place, v, cast(sum(length(g) + length(v)) over (partition by rid, kind order by i) as bigint) as e from u),
+c as (select *, """
+    + _CRC
+    + f""" as crc from y where kind = 'checked' and length(v) = 40),
+b as (
+  select rid, kind, place, e - length(v) as s, e from y
+  where kind = 'assign' and length(regexp_replace(v, '^[A-Za-z_]+["'']?\\x20*[:=]\\x20*["'']?', '')) >= 8 or kind = 'access' and length(v) >= 16 or kind = 'hex' and length(v) >= 32
+  union all select rid, kind, place, e - length(v), e from c where substr(v, 35, 6) = array_to_string(list_transform(range(5, -1, -1), lambda k: substr('{_DIGITS}', cast((crc // pow(62, k)::ubigint) % 62 as int) + 1, 1)), '')
+), r as (
+  select rid, string_agg(kind || ':' || s || ':' || e, ',' order by s, place) as spans, string_agg(kind || ':' || s || ':' || e, ',' order by s, place) filter (kind <> 'checked') as base,
+         """
+    + ", ".join(f"count(*) filter (kind = '{k}') as n_{k}" for k in BASE)
+    + " from b group by rid)\nselect doc_id, "
+    + ", ".join(f"coalesce(n_{k}, 0) as n_{k}" for k in BASE)
+    + ", sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join r using (rid)"
+)
