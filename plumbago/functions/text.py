@@ -58,7 +58,7 @@ def snippet(c: Column, size: int = 500) -> Column:
 
 
 def source_label(source_type: Column, name: Column, page: Column, section: Column, url: Column) -> Column:
-    """How a source is named in a context block."""
+    """How a source is named in a context block. Its words and their order."""
     local = F.concat_ws(" - ", name, F.when(page != 0, F.concat(F.lit("第"), page.cast("string"), F.lit("页"))), F.when(section != "", F.concat(F.lit("第"), section, F.lit("节"))))
     return F.when(source_type == "web", F.concat(F.lit("网络来源: "), F.coalesce(name, F.lit("")), F.lit(" ("), F.coalesce(url, F.lit("None")), F.lit(")"))).otherwise(local)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbago.functions.text import snippet, source_label
 
+#: The longest context, its header, and the words of a block in blocks().
 LIMIT = 6000
 HEADER = "\n" + "=" * 50
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Weights, bonus and thresholds of fusion, the web gate and reranking.
 VECTOR_WEIGHT, LEXICAL_WEIGHT, BONUS = 0.6, 0.4, 1.2
 WEB_BELOW = 0.5
 LOCAL_WEIGHT, WEB_WEIGHT, WEB_DEFAULT = 0.7, 0.3, 0.5

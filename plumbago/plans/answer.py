@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import timedelta
 
@@ -35,6 +35,8 @@ class Engine:
     embedder: Embedder | None = None
     answerer: Answerer = field(default_factory=Extract)
     web: WebSearch | None = None
+    #: A model's rewriting of a question column; one that is too long isn't asked.
+    rewriter: Callable[[Column], Column] | None = None
 
     def __post_init__(self):
         self.embedder = self.embedder or HashedTerms(self.conf.embedding_dim)
@@ -82,7 +84,7 @@ class Engine:
         ks, most = self._depths(requests)
         within = lambda df, by, times=1: df.join(ks, "query_id").filter(F.col(by) <= times * F.col("k")).drop("k")
         table = self.store.table() if where is None else self.store.where(where)
-        asked = valid(requests).select("query_id", "use_web_search", "question", F.explode(rewrite.variants(F.col("question"))).alias("variant"))
+        asked = valid(requests).select("query_id", "use_web_search", "question", F.explode(self._variants(F.col("question"))).alias("variant"))
         vectors = self.embedder.embed(asked, "variant").filter("embedding is not null").select("query_id", "embedding")
         near = self._per_variant(vectors, table, 2 * most)
         index = lexical.LexicalIndex.load(self.spark, self.conf.index_path)
@@ -96,6 +98,10 @@ class Engine:
         used = web.select("query_id").distinct().withColumn("used_web", F.lit(True))
         return within(fusion.rerank(local, web, most), "rank"), gate.select("query_id", "top_score").join(used, "query_id", "left").withColumn("used_web", F.coalesce("used_web", F.lit(False)))
 
+    def _variants(self, question: Column) -> Column:
+        own = rewrite.variants(question)
+        return own if self.rewriter is None else F.array_distinct(F.concat(own, F.array(rewrite.accepted(self.rewriter(question), question))))
+
     def _per_variant(self, vectors: DataFrame, table: DataFrame, k: int) -> DataFrame:
         """The nearest chunks of each request; with ``probe_cells`` by an index of cells, which finds the same."""
         chunks = table.select("chunk_id", "embedding")

@@ -388,6 +388,20 @@ def test_requests_choose_how_many(spark, corpus):
     assert sorted((r.query_id, r["rank"], r.chunk_id) for r in cells.retrieve(q)[0].collect()) == sorted((q, *x) for q, v in got.items() for x in v)
 
 
+def test_a_model_may_rewrite(spark, corpus):
+    e = corpus[0]
+    q = spark.createDataFrame([("a", "quartz?", False, 3)], REQUEST)
+    other = Engine(spark, e.conf, rewriter=lambda c: F.lit("basalt"))
+    names = lambda x: {r.content for r in x.retrieve(q)[0].collect()}
+    assert any("basalt" in c for c in names(other)) and Engine(spark, e.conf, rewriter=lambda c: F.lit("basalt " * 9)).retrieve(q)[0].count() == len(names(e))
+
+
+def test_prompts(spark):
+    q, c = spark.createDataFrame([("1", "why?")], "query_id string, question string"), spark.createDataFrame([("1", "because")], "query_id string, context string")
+    said = context.prompts(q, c, SYSTEM).first().prompt
+    assert said.startswith(SYSTEM) and said.index("because") < said.index("why?")
+
+
 def test_routes(spark, corpus):
     api = Api(corpus[0])
     assert api.handle("GET", "/")[0] == 200 and api.handle("GET", "/nothing")[0] == 404 and api.handle("POST", "/api/v1/query", {"question": ""})[0] == 422
