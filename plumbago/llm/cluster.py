@@ -1,4 +1,7 @@
-"""What the operators share on a cluster: the checkpoint folder, row keys, size-checked broadcasts, components."""
+"""What the operators share on a cluster: the checkpoint folder, row keys, size-checked broadcasts, components.
+
+Cases. Keys tell nulls from empty texts; equal rows have equal keys. Empty frames are small and have no components; an edge from a node to itself gives the node. Names from fresh() clash with no column of the frame in any case.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""A bounded sample of labelled documents for fitting a classifier."""
+"""A bounded sample of labelled documents for fitting a classifier.
+
+Cases. Labels without a doc_id or a value are left out; of a doc_id with several labels the larger counts. Documents without a text, or of more than LONGEST code points, aren't fitted to; scoring has no such bounds. Repeated rows of a labelled document are
+each fitted to. Empty tables give an empty sample. Columns but doc_id, text and the label are neither read nor needed.
+"""
 
 from __future__ import annotations
 

@@ -35,7 +35,7 @@ REPEATS = 3
 SEED = "mix"
 BUCKETS = 4096
 #: The flow is settled once a round lowers the cost by less than this share.
-SETTLED = 1e-12
+SETTLED = 1e-9
 SIZE = r"[^\x20\x09-\x0D]+"
 Weights = Callable[[Sequence[str | None]], Sequence[int]]
 
@@ -77,7 +77,7 @@ def route(source: np.ndarray, pattern: np.ndarray, room: np.ndarray, width: np.n
         fill = lambda level: np.clip(level[source] * w - others, 0, room)
         low, high = np.zeros(len(quota)), np.zeros(len(quota))
         np.maximum.at(high, source, (others + room) / w)
-        for _ in range(60):
+        for _ in range(40):
             mid = (low + high) / 2
             over = np.bincount(source, fill(mid), len(quota)) > quota
             low, high = np.where(over, low, mid), np.where(over, mid, high)
