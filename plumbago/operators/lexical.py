@@ -116,9 +116,12 @@ def scan(queries: DataFrame, chunks: DataFrame, content: Column | None = None, t
     asked, few = _terms(queries, text, "query_id", with_han)
     cut = chunks.select("chunk_id", tokens(F.col("content") if content is None else content, with_han).alias("tokens"))
     hint = F.broadcast if few else lambda df: df
-    said = cut.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(hint(asked.select("term").distinct()), "term")
-    postings = _kept(said.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")))
-    n, length = cut.agg(F.count("*"), F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()
+    mark = F.lit("")  # no token; each chunk's row of it tells the numbers of chunks and tokens in the same pass
+    wanted = asked.select("term").distinct().union(spark.range(1).select(mark))
+    said = cut.select("chunk_id", F.size("tokens").alias("dl"), F.explode(F.concat("tokens", F.array(mark))).alias("term")).join(hint(wanted), "term")
+    found = _kept(said.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.sum("dl").alias("total")))
+    n, length = found.filter("term = ''").agg(F.coalesce(F.sum("tf"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    postings = found.filter("term != ''").drop("total")
     stats = spark.createDataFrame([(n, length / n if n else None)], "n long, avgdl double")
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     if (df.agg(F.max("df")).first()[0] or 0) > n / 2:
