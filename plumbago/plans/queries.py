@@ -33,7 +33,10 @@ def _folder(spark: SparkSession) -> str:
 
 
 def _read(spark: SparkSession, d: str, t: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{t}.parquet")
+    """A table. Texts that come in fewer parts than there are cores, as a small file does, are dealt out; tables of many files aren't shuffled."""
+    df = spark.read.parquet(f"{d}/{t}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if t in ("documents", "pages") and df.rdd.getNumPartitions() < cores else df
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
